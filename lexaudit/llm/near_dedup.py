@@ -9,9 +9,10 @@ probability (1 - (1 - s**k)**m)**2: 0.9996 at s = 0.85 with m = 9, k = 3.
 Texts with equal shingle sets form one class. Class representatives that
 share a key are linked with the least one of it, links are verified on the
 full sets, and components are formed. What a key then still holds in several
-components is linked anew with other members, in rounds, and pairs left
-across components of a key are verified outright; a group that is one
-component costs no pair of its own.
+components is linked anew with other members, in rounds. Members that no
+partner can reach, by the shingles that other components share, are left out,
+and pairs that remain across components of a key are verified outright; a
+group that is one component costs no pair of its own.
 
 Defined results: words are longest runs outside of space and 0x09-0x0D with
 A-Z lower-cased; a text with fewer words than a shingle, but not none, has its
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -76,9 +77,16 @@ def _signed(texts: list[bytes], size: int, m: int, k: int, factor: np.ndarray, s
 
 
 def table_keys(classes: DataFrame, m: int = 9) -> DataFrame:
-    """(key, doc_id): the m * m keys of each row, each of one left and one right half."""
+    """(key, slot, doc_id): the m * m keys of each row, each of one left and one right half; slot is its table."""
     pairs = F.transform(F.sequence(F.lit(0), F.lit(m * m - 1)), lambda i: F.xxhash64(i, F.get("halves", (i / m).cast("int")), F.get("halves", m + i % m)))
-    return classes.select("doc_id", F.explode(pairs).alias("key"))
+    return classes.select("doc_id", F.posexplode(pairs).alias("slot", "key"))
+
+
+def _first_shared(a: Column, b: Column, slot: Column, m: int) -> Column:
+    """Whether slot is the first table in which two documents with these halves share a key."""
+    left = F.array_position(F.zip_with(F.slice(a, 1, m), F.slice(b, 1, m), lambda x, y: x == y), True)
+    right = F.array_position(F.zip_with(F.slice(a, m + 1, m), F.slice(b, m + 1, m), lambda x, y: x == y), True)
+    return ((left - 1) * m + right - 1) == slot
 
 
 def shingle_sets(docs: DataFrame, size: int = 5) -> DataFrame:
@@ -113,6 +121,48 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = 85) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
 
 
+def _possible(shared: Column, sizes: Column, percent: int) -> Column:
+    """Whether sets of these sizes in sum that share so many shingles can reach the similarity."""
+    return (100 + percent) * shared >= percent * sizes
+
+
+def undecided(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int = 85) -> DataFrame:
+    """(key, slot, doc_id, part, n, useful): members (key, slot, doc_id) that may still have a link into another component of their key.
+
+    useful counts those of a document's n shingles that some document of
+    another component has, of all that still share a key across components. A
+    document whose useful shingles are too few for any partner of its key's
+    sizes can be left out: no link is lost, and copies with many changes of
+    their own, which a large family has, need no pairs.
+    """
+    placed = members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "slot", "doc_id", F.coalesce("label", "doc_id").alias("part"))
+    placed = materialize(_across(placed), "placed")
+    own = sets.join(placed.select("doc_id", "part").distinct(), "doc_id")
+    flat = materialize(own.select("doc_id", "part", "shingles").mapInArrow(_flat, "doc_id long, part long, shingle long, n long"), "flat")
+    across = flat.groupBy("shingle").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("shingle")
+    useful = flat.join(across, "shingle").groupBy("doc_id").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("useful"))
+    counted = materialize(placed.join(useful, "doc_id"), "counted")
+    discard(flat)
+    least = counted.groupBy("key").agg(F.min("n").alias("least"))
+    partner = F.greatest(F.col("least"), F.ceil(F.col("n") * (percent / 100)))
+    able = counted.join(least, "key").where(_possible(F.col("useful"), F.col("n") + partner, percent))
+    return _across(able.select("key", "slot", "doc_id", "part", "n", "useful"))
+
+
+def _across(placed: DataFrame) -> DataFrame:
+    """Members of those keys that several components share."""
+    mixed = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
+    return placed.join(mixed, "key")
+
+
+def _flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        own = [np.frombuffer(x, np.int64) for x in batch.column("shingles").to_pylist()]
+        n = np.array([len(x) for x in own], np.int64)
+        rows = [np.repeat(batch.column(c).to_numpy(), n) for c in ("doc_id", "part")]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*rows, np.concatenate(own), np.repeat(n, n))], ["doc_id", "part", "shingle", "n"])
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85, m: int = 9, k: int = 3, rounds: int = 2) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row; kept where doc_id is the component's least."""
     signed = materialize(signatures(docs, size, m, k), "signatures")
@@ -123,6 +173,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85, m: int =
     keys = table_keys(first, m)
     heads = keys.groupBy("key").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "head")
     members = materialize(keys.join(heads, "key"), "members")
+    halves = materialize(first.select("doc_id", "halves").join(members.select("doc_id").distinct(), "doc_id"), "halves")
 
     ids = materialize(members.select("doc_id").distinct(), "ids")
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
@@ -130,21 +181,20 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85, m: int =
 
     pairs = members.where("head < doc_id").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct()
     links = materialize(verified(pairs, sets, percent), "links")
-    labels = connected_components(links)
+    labels, open_ = connected_components(links), members
     for turn in range(rounds + 1):
-        placed = materialize(members.select("key", "doc_id").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("label", "doc_id").alias("part")), "placed")
-        mixed = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.min(F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("h"), F.col("doc_id").alias("head"), F.col("part").alias("head_part"))).alias("star"))
-        mixed = mixed.where("low < high").select("key", "star.head", "star.head_part")
+        open_ = materialize(undecided(open_.select("key", "slot", "doc_id"), labels, sets, percent), "open")
         if turn < rounds:
-            more = placed.join(mixed, "key").where("part <> head_part").select(F.least("head", "doc_id").alias("a"), F.greatest("head", "doc_id").alias("b")).distinct()
+            star = F.min(F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("h"), F.col("doc_id").alias("head"), F.col("part").alias("head_part"))).alias("star")
+            stars = open_.groupBy("key").agg(star).select("key", "star.head", "star.head_part")
+            more = open_.join(stars, "key").where("part <> head_part").select(F.least("head", "doc_id").alias("a"), F.greatest("head", "doc_id").alias("b")).distinct()
         else:
-            rest = materialize(placed.join(mixed.select("key"), "key"), "rest")
-            other = rest.select("key", F.col("doc_id").alias("b"), F.col("part").alias("b_part"))
-            more = rest.withColumnRenamed("doc_id", "a").join(other, "key").where("a < b and part <> b_part").select("a", "b").distinct()
+            one = open_.join(halves, "doc_id")
+            other = one.select("key", *(F.col(c).alias(f"b_{c}") for c in ("doc_id", "part", "n", "useful", "halves")))
+            fits = (F.col("doc_id") < F.col("b_doc_id")) & (F.col("part") != F.col("b_part")) & _possible(F.least("useful", "b_useful"), F.col("n") + F.col("b_n"), percent) & _first_shared(F.col("halves"), F.col("b_halves"), F.col("slot"), m)
+            more = one.join(other, "key").where(fits).select(F.col("doc_id").alias("a"), F.col("b_doc_id").alias("b")).distinct()
         new = materialize(verified(more, sets, percent), "links")
-        found = new.limit(1).count()
-        discard(placed)
-        if found:
+        if new.limit(1).count():
             links = materialize(links.union(new), "links")
             labels = connected_components(links)
     parts = classes.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left").select(*named, F.coalesce("label", "class_id").alias("component_id"))

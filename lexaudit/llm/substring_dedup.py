@@ -1,8 +1,10 @@
 """Substring deduplication by sliding sentence spans.
 
 A text is cut into sentences after ``.``, ``!`` or ``?`` that white space
-follows, and at line breaks. From each sentence on, a span is the shortest
-run of at least two sentences and twenty words. Spans are hashed (96 bits)
+follows, and at line breaks. A span is a run of at least two sentences and twenty words
+that is the shortest from its first sentence on, or the shortest up to its
+last one, so that spans cover all sentences of any repeated passage that is
+long enough. Spans are hashed (96 bits)
 and joined globally; a sentence is removed if any span that covers it is not
 the first of its hash, in the order of doc_id and place in the text.
 
@@ -41,17 +43,23 @@ def spans(text: str, min_sentences: int, min_words: int) -> Iterator[tuple[int,
     """(first sentence, sentences, hash of 12 bytes) of every span."""
     starts = sentences(text)
     words = [text[a:b].split() for a, b in zip(starts, starts[1:], strict=False)]
-    sizes = [len(x) for x in words]
     joined = [" ".join(x) for x in words]
-    end = held = 0
+    total = [0]
+    for x in words:
+        total.append(total[-1] + len(x))
+    end = before = 0
     for i in range(len(joined)):
-        while end < len(joined) and (end - i < min_sentences or held < min_words):
-            held += sizes[end]
+        end = max(end, i + min_sentences)
+        while end <= len(joined) and total[end] - total[i] < min_words:
             end += 1
-        if end - i < min_sentences or held < min_words:
+        whole = end <= len(joined)
+        if i:
+            for j in range(before + 1, min(end, len(joined) + 1)):  # ends that no shortest run from i on has
+                yield i - 1, j - i + 1, xxhash.xxh3_128_digest(" ".join(joined[i - 1 : j]))[:12]
+        if not whole:
             return
         yield i, end - i, xxhash.xxh3_128_digest(" ".join(joined[i:end]))[:12]
-        held -= sizes[i]
+        before = end
 
 
 def span_rows(docs: DataFrame, min_sentences: int = 2, min_words: int = 20) -> DataFrame:

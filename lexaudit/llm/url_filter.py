@@ -13,6 +13,7 @@ and extra columns change nothing; an empty table gives no rows.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -22,6 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+_DIGIT = re.compile("[0-9]")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -66,8 +68,9 @@ def best_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
 
 
 def features(host: str, path: str, sizes: Sequence[int], dims: int) -> np.ndarray:
-    """Distinct hashed n-grams of the host (between marks) and of the path, as column numbers."""
+    """Distinct hashed n-grams of the host (between marks) and of the path, as column numbers; digits count alike."""
     found = {0}
+    host, path = _DIGIT.sub("0", host), _DIGIT.sub("0", path)
     for mark, text in (("h", f"^{host}$"), ("p", f"{path}$")):
         for n in sizes:
             for i in range(max(0, len(text) - n) + 1):
@@ -87,29 +90,28 @@ class UrlModel:
         return float(1 / (1 + np.exp(-np.clip(self.weights[own].sum() / np.sqrt(len(own)), -30, 30))))
 
 
-def fit(labelled: Sequence[tuple[str, str, int]], sizes: tuple[int, ...] = (3, 4, 5), dims: int = 1 << 16, epochs: int = 200, rate: float = 0.5, decay: float = 1e-3) -> UrlModel:
+def fit(labelled: Sequence[tuple[str, str, int]], sizes: tuple[int, ...] = (3, 4, 5), dims: int = 1 << 16, epochs: int = 300, rate: float = 0.5, decay: float = 1e-3) -> UrlModel:
     """Full-batch gradient descent on the small table of (host, path, blocked)."""
     own = [features(h, p, sizes, dims) for h, p, _ in labelled]
     y = np.array([label for *_, label in labelled], float)
-    share = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
     columns, rows = np.concatenate(own), np.repeat(np.arange(len(own)), [len(x) for x in own])
     value = 1 / np.sqrt(np.array([len(x) for x in own]))
     w = np.zeros(dims)
     for _ in range(epochs):
         z = np.bincount(rows, w[columns], len(own)) * value
-        slope = (1 / (1 + np.exp(-z)) - y) * share * value
+        slope = (1 / (1 + np.exp(-z)) - y) / max(1, len(own)) * value
         w -= rate * (len(own) * np.bincount(columns, slope[rows], dims) + decay * w)
     return UrlModel(w, sizes)
 
 
 def labelled_urls() -> list[tuple[str, str, int]]:
     """The small labelled table: made hosts and paths, wanted (0) and unwanted (1)."""
-    wanted = [f"{sub}{word}.example.{top}" for sub in ("", "www.", "blog.", "m.") for word in ("thering", "ontion", "library", "museum", "school", "weather") for top in ("com", "org")]
+    wanted = [f"{sub}{word}.example.{top}" for sub in ("", "www.", "blog.", "m.") for word in ("thering", "ontion", "library", "museum", "school", "weather", "news", "garden", "travel", "recipes", "science", "forum") for top in ("com", "org")]
     unwanted = [f"{word}.example.{top}" for word in ("spam-farm", "cheap-pills", "casino-bonus", "xxx-cams", "free-loans", "click-ads", "adserver", "tracker-pixel", "warez-crack", "link-farm") for top in ("com", "org")]
     good = ["/en/{}", "/de/{}/", "/fr/{}.html", "/es/{}", "/articles/{}"]
     bad = ["/en/{}", "/win-bonus/{}", "/buy-cheap-pills/{}", "/ads/click/{}", "/crack-download/{}"]
-    rows = [(host, good[i % 5].format(100 + 37 * i), 0) for i, host in enumerate(wanted * 2)]
-    return rows + [(host, bad[i % 5].format(100 + 37 * i), 1) for i, host in enumerate(unwanted * 5)]
+    rows = [(host, good[i % 5].format(100 + 37 * i), 0) for i, host in enumerate(wanted * 3)]
+    return rows + [(host, bad[i % 5].format(100 + 37 * i), 1) for i, host in enumerate(unwanted * 2)]
 
 
 def judge(pages: DataFrame, rules: Sequence[Rule], model: UrlModel, threshold: float = 0.5) -> DataFrame:

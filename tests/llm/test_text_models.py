@@ -219,7 +219,9 @@ def test_ppm_query_against_brute_force_and_base(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()]
     got = queries.op2_ppm_score(spark, sf).collect()
     same_scores(got, brute_scores(rows))
-    assert sum(r["score"] - r["base_score"] for r in got if r["held_out"]) > 0
+    sizes = {d: len((x or "").encode()) + 1 for d, x in rows}
+    out = [r for r in got if r["held_out"]]
+    assert sum(-r["score"] for r in out) / sum(sizes[r["doc_id"]] for r in out) < 0.9  # three bits a byte
 
 
 def test_quality_on_held_out_rows(spark):

@@ -1,13 +1,527 @@
-"""All queries of the engine itself, by name."""
+"""All queries of the engine itself, by name, with the SQL that must agree."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import perturb
+from ..functions.family import family, kind
+from ..functions.identifiers import identifiers
+from ..functions.text import collapse, digits, preamble_end
+from ..operators import audit, evaluate, normindex, resolve, spans, textindex
+from ..operators.extraction import extract
+from ..sources import contract
+from . import adapters as A
+from .adapters import derived, table
+
+CAPITALISED, CLOSING, NUMBERS = r"[A-Z][a-z]+ [a-z]+", r"[a-z]+ [a-z]+\.", r"[0-9]+(?:[.:/\-][0-9]+)*"
+
+
+def q_span_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of number forms in all documents."""
+    found = table(spark, sf_dir, "documents").select("doc_id", spans.find_spans(F.col("text"), NUMBERS).alias("spans"))
+    return spans.explode_spans(found)
+
+
+def _spans_sql(pattern: str) -> str:
+    return f"""
+SELECT doc_id, k - 1 AS idx, start, start + length(m[k]) AS "end", m[k] AS snippet
+FROM (SELECT doc_id, m, k, list_sum(list_transform(s[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: length(x))), 0) AS start
+      FROM (SELECT doc_id, m, s, unnest(range(1, len(m) + 1)) AS k
+            FROM (SELECT doc_id, regexp_extract_all(text, '{pattern}') AS m, regexp_split_to_array(text, '{pattern}') AS s
+                  FROM (SELECT doc_id, translate(text, chr(1) || chr(2), '  ') AS text FROM documents))))"""
+
+
+def q_preamble_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the body of each document begins."""
+    return table(spark, sf_dir, "documents").select("doc_id", preamble_end(F.col("text")).alias("body"))
+
+
+PREAMBLE_SQL = r"""
+WITH lines AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
+each AS (SELECT doc_id, k, l[k] AS line FROM lines, unnest(range(1, len(l) + 1)) AS t(k)),
+placed AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM each),
+judged AS (SELECT *, length(line) >= 60 AND len(regexp_extract_all(line, '\p{L}')) > 0 AND 2 * len(regexp_extract_all(line, '\p{Ll}')) >= len(regexp_extract_all(line, '\p{L}'))
+  AND NOT regexp_matches(line, '^\s*(?:[A-ZÀ-Ý][\p{L}\p{N}_.\- ]{0,30}:|Autos|Processos?|Protocolo|Apelante|Apelad[oa]|Recorrente|Recorrid[oa]|Impetrante|Impetrad[oa]|Embargante|Embargad[oa]|Agravante|Agravad[oa]|Requerente|Requerid[oa]|Interessad[oa]|Relator[a]?|Sess[ãa]o|Origem)\b') AS prose FROM placed)
+SELECT doc_id, CASE WHEN coalesce(min(pos) FILTER (prose), 2000) < 2000 THEN min(pos) FILTER (prose) WHEN max(pos) >= 2000 THEN 2000 ELSE 0 END AS body
+FROM judged GROUP BY doc_id
+"""
+
+
+def _two_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", spans.find_spans(F.col("text"), CAPITALISED).alias("a"), spans.find_spans(F.col("text"), CLOSING).alias("b"))
+
+
+def q_span_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlapping spans of two forms, with their overlap and conflict."""
+    both = _two_forms(spark, sf_dir)
+    one, two = (spans.explode_spans(both.select("doc_id", F.col(c).alias("spans"))).select("doc_id", "start", "end") for c in ("a", "b"))
+    pairs = spans.overlapping_pairs(one, two)
+    clash = spans.conflict(F.col("a_start"), F.col("a_end"), F.col("b_start"), F.col("b_end"))
+    return pairs.select("doc_id", "a_start", "a_end", "b_start", "b_end", F.round("iou", 6).alias("iou"), clash.alias("conflict"))
+
+
+PAIRS_SQL = f"""
+WITH a AS ({_spans_sql(CAPITALISED)}), b AS ({_spans_sql(CLOSING)}),
+p AS (SELECT a.doc_id, a.start AS a_start, a."end" AS a_end, b.start AS b_start, b."end" AS b_end, least(a."end", b."end") - greatest(a.start, b.start) AS shared
+      FROM a JOIN b ON a.doc_id = b.doc_id AND a.start < b."end" AND b.start < a."end")
+SELECT doc_id, a_start, a_end, b_start, b_end, round(CAST(shared AS DOUBLE) / (a_end - a_start + b_end - b_start - shared), 6) AS iou,
+       CAST(shared AS DOUBLE) / (a_end - a_start + b_end - b_start - shared) >= 0.5 OR (a_start >= b_start AND a_end <= b_end) OR (b_start >= a_start AND b_end <= a_end) AS conflict
+FROM p
+"""
+
+
+def q_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of two forms, deduplicated greedily."""
+    kept = _two_forms(spark, sf_dir).select("doc_id", spans.deduplicate(F.concat("a", "b")).alias("spans"))
+    return spans.explode_spans(kept).select("doc_id", "idx", "start", "end")
+
+
+DEDUP_SQL = f"""
+WITH RECURSIVE s AS (SELECT doc_id, start, "end", row_number() OVER (PARTITION BY doc_id ORDER BY "end" - start DESC, start) AS k FROM (SELECT * FROM ({_spans_sql(CAPITALISED)}) UNION ALL SELECT * FROM ({_spans_sql(CLOSING)}))),
+r(doc_id, k, kept) AS (
+  SELECT DISTINCT doc_id, CAST(0 AS BIGINT), CAST([] AS STRUCT(a BIGINT, b BIGINT)[]) FROM s
+  UNION ALL
+  SELECT r.doc_id, r.k + 1, CASE WHEN len(list_filter(r.kept, lambda x: (x.a >= s.start AND x.b <= s."end") OR (s.start >= x.a AND s."end" <= x.b)
+      OR 2 * greatest(0, least(x.b, s."end") - greatest(x.a, s.start)) >= x.b - x.a + s."end" - s.start - greatest(0, least(x.b, s."end") - greatest(x.a, s.start)))) > 0
+    THEN r.kept ELSE list_append(r.kept, CAST({{'a': s.start, 'b': s."end"}} AS STRUCT(a BIGINT, b BIGINT))) END
+  FROM r JOIN s ON s.doc_id = r.doc_id AND s.k = r.k + 1),
+done AS (SELECT doc_id, arg_max(kept, k) AS kept FROM r GROUP BY doc_id)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY x.a) - 1 AS idx, x.a AS start, x.b AS "end" FROM (SELECT doc_id, unnest(kept) AS x FROM done)
+"""
+
+
+def q_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identifiers of snippets with scanning noise, years and regions."""
+    return derived(spark, sf_dir, A.SNIPPETS, "orders").select("doc_id", F.array_join(identifiers(F.col("snippet")), ",").alias("ids"))
+
+
+def q_unified_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty-digit numbers in their mask."""
+    return derived(spark, sf_dir, A.UNIFIED, "orders").select("doc_id", F.array_join(identifiers(F.col("snippet")), ",").alias("ids"))
+
+
+def q_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with blanks collapsed, and their digits, as digests."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.md5(collapse(F.col("text")).cast("binary")).alias("collapsed"), F.md5(digits(F.col("text")).cast("binary")).alias("digits"))
+
+
+COLLAPSE_SQL = r"SELECT doc_id, md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS collapsed, md5(regexp_replace(text, '[^0-9]', '', 'g')) AS digits FROM documents"
+
+
+def _first_tokens(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+    items = table(spark, sf_dir, "benchmark")
+    return items.select(F.array_join(F.slice(textindex.tokens(F.col("text")), 1, n), " ").alias("phrase")).distinct()
+
+
+def q_phrase_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the first eight words of benchmark items stand in documents."""
+    postings = textindex.index(table(spark, sf_dir, "documents"), "doc_id")
+    return textindex.phrase_hits(postings, _first_tokens(spark, sf_dir, 8))
+
+
+TOKENS_SQL = r"regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+')"
+
+
+def _phrases_sql(n: int) -> str:
+    return f"""
+t AS (SELECT doc_id, {TOKENS_SQL} AS t FROM documents),
+p AS (SELECT DISTINCT array_to_string(({TOKENS_SQL})[1:{n}], ' ') AS phrase FROM benchmark),
+hits AS (SELECT phrase, doc_id AS row_id, i - 1 AS pos FROM (SELECT doc_id, i, array_to_string(t[i:i + {n - 1}], ' ') AS phrase FROM (SELECT doc_id, t, unnest(range(1, len(t) - {n - 2})) AS i FROM t)) JOIN p USING (phrase))"""
+
+
+def q_phrase_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of the first two words of benchmark items, and whether they are too many."""
+    postings = textindex.index(table(spark, sf_dir, "documents"), "doc_id")
+    return textindex.phrase_counts(textindex.phrase_hits(postings, _first_tokens(spark, sf_dir, 2)))
+
+
+def q_first_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First place of an identifier in a text, however it is punctuated."""
+    found = derived(spark, sf_dir, A.PLACED, "orders").withColumn("o", textindex.first_occurrence(F.col("text"), F.col("identifier")))
+    return found.select("doc_id", "o.position", textindex.in_header(F.col("o.position")).alias("header"))
+
+
+def q_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight-word windows of all documents."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(normindex.windows(F.col("text"))).alias("no", "window"))
+
+
+WINDOWS_SQL = r"""
+WITH w AS (SELECT doc_id, string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ') AS w FROM documents),
+e AS (SELECT doc_id, w, unnest(range(0, greatest(least(len(w) - 8, 48), 1), 8)) AS i FROM w)
+SELECT doc_id, i // 8 AS no, array_to_string(w[i + 1:i + 8], ' ') AS "window" FROM e
+"""
+
+
+def q_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most frequent source of each language; the first seen of equal ones."""
+    return normindex.majority(table(spark, sf_dir, "documents").select("lang", "source", "doc_id"), "lang", "source", ["doc_id"])
+
+
+VOTE_SQL = """
+SELECT lang, source FROM (SELECT lang, source, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, min(doc_id)) AS r FROM documents GROUP BY lang, source) WHERE r = 1
+"""
+
+
+def q_norm_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summaries and articles that citations name, with misses."""
+    registry = derived(spark, sf_dir, A.NORMS, "part")
+    norms = normindex.build(registry, textindex.index(registry))
+    cites = derived(spark, sf_dir, A.NORM_CITES, "supplier")
+    return normindex.look_up(cites, norms).select("doc_id", "normative", "norm_id")
+
+
+NORM_SQL = f"""
+WITH n AS ({A.NORMS}), c AS ({A.NORM_CITES}),
+keyed AS (SELECT record_id, row_id, CASE WHEN nature = 'sumula' THEN concat('s', regexp_extract(text, '([0-9]+)', 1))
+    WHEN text LIKE '%iguais%' THEN concat('cf', regexp_extract(text, '([0-9]+)', 1)) WHEN text LIKE '%preventiva%' THEN concat('cpp', regexp_extract(text, '([0-9]+)', 1)) END AS key FROM n),
+i AS (SELECT key, arg_max(record_id, row_id) AS norm_id FROM keyed WHERE key IS NOT NULL GROUP BY key)
+SELECT doc_id, doc_id % 4 <> 3 AS normative, norm_id
+FROM (SELECT doc_id, concat(CASE doc_id % 4 WHEN 0 THEN 's' WHEN 1 THEN 'cf' WHEN 2 THEN 'cpp' ELSE 'none' END, regexp_extract(snippet, '([0-9]+)', 1)) AS key FROM c) LEFT JOIN i USING (key)
+"""
+
+
+def q_family(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Family and kind of snippets."""
+    return derived(spark, sf_dir, A.NAMED, "part").select("doc_id", family(F.col("snippet")).alias("family"), kind(F.col("snippet")).alias("kind"))
+
+
+FAMILY_SQL = """
+SELECT p_partkey AS doc_id, CASE p_size % 12 WHEN 0 THEN 'habeas' WHEN 1 THEN 'habeas' WHEN 2 THEN 'especial' WHEN 3 THEN 'eleitoral' WHEN 4 THEN 'mandado' WHEN 6 THEN 'revista' WHEN 7 THEN 'apelacao' WHEN 8 THEN 'extraordinario' WHEN 10 THEN 'sentido_estrito' END AS family,
+       CASE WHEN p_size % 12 = 11 THEN 'lei' ELSE 'jurisprudencia' END AS kind FROM part
+"""
+
+
+def q_one_per_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The earliest hit of each citation and record."""
+    return resolve.one_per_record(derived(spark, sf_dir, A.HITS, "lineitem"))
+
+
+BEST_SQL = f"""best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, idx, record_id ORDER BY position, family, files) AS r FROM ({A.HITS})) WHERE r = 1)"""
+
+
+def q_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions on citations by all rules."""
+    return resolve.resolve_hits(derived(spark, sf_dir, A.CITATIONS, "lineitem"), derived(spark, sf_dir, A.HITS, "lineitem"))
+
+
+RESOLVE_SQL = f"""
+WITH c AS ({A.CITATIONS}), {BEST_SQL},
+first AS (SELECT doc_id, idx, min(position) AS p0 FROM best WHERE position < 2000 GROUP BY doc_id, idx),
+h AS (SELECT best.*, p0, c.family AS cited, position < 2000 AS header, position < 2000 AND position - p0 <= 2 AS copy FROM best JOIN c USING (doc_id, idx) LEFT JOIN first USING (doc_id, idx)),
+a AS (SELECT doc_id, idx, count(*) AS n, count(*) FILTER (header) AS n_header, count(*) FILTER (copy) AS n_copies, min(record_id) FILTER (copy) AS copy_id,
+        count(*) FILTER (header AND files) AS n_filing, min(record_id) FILTER (header AND files) AS filing_id, first(record_id ORDER BY position, record_id) AS any_id,
+        first(record_id ORDER BY position, record_id) FILTER (header) AS header_id, count(*) FILTER (family = cited) AS n_same, first(record_id ORDER BY position, record_id) FILTER (family = cited) AS same_id,
+        count(*) FILTER (family = cited AND files) AS n_filed, min(record_id) FILTER (family = cited AND files) AS filed_id
+      FROM h GROUP BY doc_id, idx),
+d AS (SELECT doc_id, idx, CASE
+    WHEN normative AND norm_id IS NOT NULL THEN {{'class': 'real', 'id': norm_id, 'path': 'normativo'}}
+    WHEN normative THEN {{'class': 'inventada', 'id': NULL, 'path': 'normativo'}}
+    WHEN n_identifiers = 0 THEN {{'class': 'incompleta', 'id': NULL, 'path': 'sem_identificador'}}
+    WHEN n = 1 THEN {{'class': 'real', 'id': any_id, 'path': 'registro_unico'}}
+    WHEN n IS NULL AND ambiguous THEN {{'class': 'incompleta', 'id': NULL, 'path': 'ambiguo'}}
+    WHEN n IS NULL THEN {{'class': 'inventada', 'id': NULL, 'path': 'sem_candidato'}}
+    WHEN n_copies > 1 THEN {{'class': 'real', 'id': copy_id, 'path': 'registro_unico'}}
+    WHEN n_header = 1 THEN {{'class': 'real', 'id': header_id, 'path': 'cabecalho'}}
+    WHEN n_header > 1 AND n_filing = 1 THEN {{'class': 'real', 'id': filing_id, 'path': 'especie'}}
+    WHEN n_header > 1 THEN {{'class': 'real', 'id': any_id, 'path': 'desempate'}}
+    WHEN family IS NULL THEN {{'class': 'real', 'id': any_id, 'path': 'especie_ilegivel'}}
+    WHEN n_same = 0 THEN {{'class': 'inventada', 'id': NULL, 'path': 'so_mencionado'}}
+    WHEN n_filed = 1 THEN {{'class': 'real', 'id': filed_id, 'path': 'especie'}}
+    ELSE {{'class': 'real', 'id': same_id, 'path': 'especie'}} END AS d FROM c LEFT JOIN a USING (doc_id, idx))
+SELECT doc_id, idx, d.class AS class, d.id AS record_id, CASE WHEN d.path IN ('normativo', 'sem_identificador', 'registro_unico', 'sem_candidato', 'cabecalho') THEN 1.0::DOUBLE END AS confidence, d.path AS path FROM d
+"""
+
+
+def _opinions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cites = derived(spark, sf_dir, A.OPINION_CITES, "lineitem")
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("line", "snippet"))), lambda c: F.concat(F.lit("como este tribunal decidiu ao julgar o caso semelhante e agora reafirma, "), c["snippet"], F.lit(". ")))
+    return cites.groupBy("doc_id").agg(F.concat(F.lit("PETIÇÃO 1.111.111\nAutos: 2.222.222\n"), F.array_join(lines, "\n")).alias("text"))
+
+
+OPINIONS_SQL = f"""
+c AS ({A.OPINION_CITES}),
+o AS (SELECT doc_id, line, asked, snippet, row_number() OVER w - 1 AS idx, 35 + length(concat(body, snippet)) - length(snippet) AS start
+      FROM (SELECT *, concat(coalesce(string_agg(concat('como este tribunal decidiu ao julgar o caso semelhante e agora reafirma, ', snippet, '. '), chr(10)) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) || chr(10), ''), 'como este tribunal decidiu ao julgar o caso semelhante e agora reafirma, ') AS body FROM c)
+      WINDOW w AS (PARTITION BY doc_id ORDER BY line))"""
+
+
+def q_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Citations of derived opinions, past their preambles."""
+    return extract(_opinions(spark, sf_dir))
+
+
+def q_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Citations of derived opinions, extracted, looked up in a derived registry and decided."""
+    registry = derived(spark, sf_dir, A.REGISTRY, "orders")
+    postings = textindex.index(registry)
+    norms = spark.createDataFrame([], "kind string, number string, code string, record_id long")
+    cites = extract(_opinions(spark, sf_dir))
+    return cites.join(resolve.verify(cites, registry, postings, norms), ["doc_id", "idx"]).select("doc_id", "idx", "snippet", "class", "record_id", "path")
+
+
+VERIFY_SQL = f"""
+WITH {OPINIONS_SQL}, r AS (SELECT 1000000 + o_orderkey - o_orderkey % 2 AS asked, count(*) AS n, min(o_orderkey) AS least FROM orders GROUP BY 1)
+SELECT doc_id, idx, snippet, CASE WHEN n IS NULL THEN 'inventada' ELSE 'real' END AS class, least AS record_id, CASE WHEN n IS NULL THEN 'sem_candidato' WHEN n = 1 THEN 'registro_unico' ELSE 'cabecalho' END AS path
+FROM o LEFT JOIN r USING (asked)
+"""
+
+
+def q_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Options picked by answers of several forms."""
+    lines = table(spark, sf_dir, "lineitem")
+    answer = F.concat(F.element_at(F.array(*map(F.lit, ("Option ", "", "no number", "0", " the "))), (F.col("l_partkey") % 5 + 1).cast("int")), F.when(F.col("l_partkey") % 5 == 2, F.lit("")).when(F.col("l_partkey") % 5 == 3, F.lit("")).otherwise(F.col("l_linenumber").cast("string")))
+    return lines.select("l_orderkey", "l_linenumber", resolve.answer_index(answer, (F.col("l_suppkey") % 6 + 1).cast("int")).alias("choice"))
+
+
+ANSWERS_SQL = """
+SELECT l_orderkey, l_linenumber, CASE l_partkey % 5 WHEN 2 THEN 0 WHEN 3 THEN -1 ELSE CASE WHEN l_linenumber <= l_suppkey % 6 + 1 THEN l_linenumber - 1 ELSE 0 END END AS choice FROM lineitem
+"""
+
+
+def q_choose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Disputes given to a chooser in batches; it picks by the length of the prompt."""
+    cites, hits = derived(spark, sf_dir, A.CITATIONS, "lineitem"), derived(spark, sf_dir, A.HITS, "lineitem").withColumn("text", F.lit("Recurso"))
+    chooser = lambda prompts: [str(p.count("Recurso")) for p in prompts]
+    return resolve.resolve_hits(cites, hits, chooser).where("path = 'desempate'").select("doc_id", "idx", "record_id")
+
+
+CHOOSE_SQL = f"""
+WITH x AS ({RESOLVE_SQL}), {BEST_SQL}
+SELECT doc_id, idx, last(best.record_id ORDER BY position, best.record_id) AS record_id FROM x JOIN best USING (doc_id, idx) WHERE path = 'desempate' GROUP BY doc_id, idx
+"""
+
+
+def _decided(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    found = derived(spark, sf_dir, A.PREDICTED, "lineitem").withColumn("snippet", F.concat(F.lit('REsp "'), "record_id"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id")), found
+
+
+def q_contract_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Submission cells of all documents."""
+    return contract.cells(*_decided(spark, sf_dir))
+
+
+CELLS_SQL = f"""
+SELECT o_orderkey AS documento_id, coalesce(citacoes, '-') AS citacoes FROM orders LEFT JOIN (
+  SELECT doc_id, string_agg(concat(start, ',', "end", ',', class, ',', coalesce(CAST(record_id AS VARCHAR), '-'), ',', coalesce(printf('%.4f', confidence), '-')), '|' ORDER BY idx) AS citacoes FROM ({A.PREDICTED}) GROUP BY doc_id) ON o_orderkey = doc_id
+"""
+
+
+def q_contract_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract documents; keys without a value are absent."""
+    return contract.contract(*_decided(spark, sf_dir))
+
+
+JSON_SQL = f"""
+SELECT o_orderkey AS documento_id, concat('{{"documento_id":"', o_orderkey, '","citacoes":[', coalesce(items, ''), ']}}') AS json FROM orders LEFT JOIN (
+  SELECT doc_id, string_agg(concat('{{"inicio":', start, ',"fim":', "end", CASE WHEN record_id IS NULL THEN '' ELSE concat(',"trecho":"REsp \\"', record_id, '"') END, ',"tipo":"jurisprudencia","classificacao":"', class, '"',
+    CASE WHEN confidence IS NULL THEN '' ELSE concat(',"confianca":', confidence) END, CASE WHEN record_id IS NULL THEN '' ELSE concat(',"resolucao":{{"id_canonico":"', record_id, '"}}') END, '}}'), ',' ORDER BY idx) AS items FROM ({A.PREDICTED}) GROUP BY doc_id) ON o_orderkey = doc_id
+"""
+
+
+def _matched(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    predicted, gold = derived(spark, sf_dir, A.PREDICTED, "lineitem"), derived(spark, sf_dir, A.GOLD, "lineitem")
+    return predicted, gold, evaluate.match(predicted, gold)
+
+
+MATCH_SQL = f"""
+p AS ({A.PREDICTED}), g AS ({A.GOLD}),
+i AS (SELECT p.doc_id, p.idx, g.line, g.class AS gold_class, g.record_id AS gold_id, g.level, least(p."end", g."end") - greatest(p.start, g.start) AS b, p."end" - p.start + g."end" - g.start AS s FROM p JOIN g ON p.doc_id = g.doc_id AND p.start < g."end" AND g.start < p."end"),
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, idx ORDER BY line) AS r FROM i WHERE 2 * b >= s - b) WHERE r = 1),
+m AS (SELECT p.*, f.line, gold_class, gold_id, level, coalesce(p.class = gold_class AND p.record_id IS NOT DISTINCT FROM gold_id, false) AS good FROM p LEFT JOIN f USING (doc_id, idx))"""
+
+
+def q_eval_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Right decisions of each path."""
+    return evaluate.paths(_matched(spark, sf_dir)[2])
+
+
+def q_eval_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gold citations that were not extracted."""
+    predicted, gold, _ = _matched(spark, sf_dir)
+    return evaluate.missing(predicted, gold).select("doc_id", "line", "class")
+
+
+def q_eval_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of gold citations that were extracted."""
+    predicted, gold, _ = _matched(spark, sf_dir)
+    return evaluate.coverage(predicted, gold).withColumn("share", F.round("share", 8))
+
+
+def q_eval_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F1 of each class at each level."""
+    _, gold, matched = _matched(spark, sf_dir)
+    return evaluate.class_scores(matched, gold).withColumn("f1", F.round("f1", 8))
+
+
+CLASSES_SQL = f"""
+{MATCH_SQL}, made AS (SELECT coalesce(level, -1) AS level, class, count(*) FILTER (good) AS tp, count(*) AS n_predicted FROM m GROUP BY 1, 2), true_ AS (SELECT level, class, count(*) AS n_gold FROM g GROUP BY 1, 2),
+cl AS (SELECT level, class, coalesce(tp, 0) AS tp, coalesce(n_predicted, 0) AS n_predicted, coalesce(n_gold, 0) AS n_gold, 2.0::DOUBLE * coalesce(tp, 0) / (coalesce(n_predicted, 0) + coalesce(n_gold, 0)) AS f1 FROM true_ FULL JOIN made USING (level, class))"""
+
+
+def q_eval_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of each level, with calibration and both kinds of grave errors."""
+    _, gold, matched = _matched(spark, sf_dir)
+    return evaluate.score(matched, gold).withColumns({c: F.round(c, 8) for c in ("macro_f1", "brier", "score")})
+
+
+SCORE_SQL = f"""
+WITH {CLASSES_SQL}, k AS (SELECT level, avg(pow(confidence - good::INT, 2)) AS brier, count(*) FILTER (gold_class = 'real' AND class = 'inventada') AS real_as_fabricated, count(*) FILTER (gold_class = 'inventada' AND class = 'real') AS fabricated_as_real FROM m WHERE level IS NOT NULL GROUP BY level)
+SELECT level, round(macro_f1, 8) AS macro_f1, round(brier, 8) AS brier, round(macro_f1 + 0.1::DOUBLE * (1 - brier), 8) AS score, real_as_fabricated, fabricated_as_real
+FROM (SELECT level, avg(f1) AS macro_f1 FROM cl WHERE level >= 0 GROUP BY level) JOIN k USING (level)
+"""
+
+
+def q_perturb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with other separators, marks and dashes."""
+    texts = derived(spark, sf_dir, A.REGISTRY, "orders").select("row_id", F.concat("text", F.lit(" - Nº 3")).alias("text"))
+    return texts.select("row_id", *(F.md5(perturb.PERTURBATIONS[n](F.col("row_id"), F.col("text")).cast("binary")).alias(n) for n in ("original", "thousands_as_spaces", "other_ordinal", "dash_for_hyphen")))
+
+
+PERTURB_SQL = rf"""
+SELECT row_id, md5(text) AS original, md5(regexp_replace(text, '(\d)\.(\d\d\d)\.(\d\d\d) ', '\1 \2 \3 ', 'g')) AS thousands_as_spaces, md5(replace(replace(text, 'nº', 'n°'), 'Nº', 'N°')) AS other_ordinal, md5(replace(text, ' - ', ' – ')) AS dash_for_hyphen
+FROM (SELECT row_id, concat(text, ' - Nº 3') AS text FROM ({A.REGISTRY}))
+"""
+
+
+def q_scanning_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registry texts with two digits of a hundred as letters."""
+    texts = derived(spark, sf_dir, A.REGISTRY, "orders")
+    return texts.select("row_id", perturb.scanning_noise(F.col("row_id"), F.col("text")).alias("text"))
+
+
+def _openings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("court"), spans.find_spans(F.col("text"), CAPITALISED).alias("spans"))
+    return spans.explode_spans(docs)
+
+
+def q_audit_openings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How spans open: a report of the twenty most frequent words."""
+    return audit.opening_counts(_openings(spark, sf_dir), 20)
+
+
+OPENINGS_SQL = f"""
+SELECT opening, n, opening IN ({", ".join(repr(w) for w in audit.WRONG_OPENINGS)}) AS wrong FROM (SELECT string_split(snippet, ' ')[1] AS opening, count(*) AS n FROM ({_spans_sql(CAPITALISED)}) GROUP BY 1) ORDER BY n DESC, opening LIMIT 20
+"""
+
+
+def q_audit_courts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of each court."""
+    return audit.court_counts(_openings(spark, sf_dir))
+
+
+def q_audit_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of spans that open with a wrong word."""
+    return audit.wrong_share(_openings(spark, sf_dir)).withColumn("percent", F.round("percent", 6))
+
+
+SHARE_SQL = f"""
+SELECT count(*) AS n, count(*) FILTER (wrong) AS n_wrong, round(100.0::DOUBLE * count(*) FILTER (wrong) / count(*), 6) AS percent FROM (SELECT string_split(snippet, ' ')[1] IN ({", ".join(repr(w) for w in audit.WRONG_OPENINGS)}) AS wrong FROM ({_spans_sql(CAPITALISED)}))
+"""
+
+
+def q_audit_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Examples of each wrong opening."""
+    return audit.wrong_examples(_openings(spark, sf_dir)).select("opening", F.array_join("examples", "|").alias("examples"))
+
+
+EXAMPLES_SQL = f"""
+SELECT opening, string_agg(substr(snippet, 1, 64), '|' ORDER BY r) AS examples FROM (SELECT *, row_number() OVER (PARTITION BY opening ORDER BY doc_id, start) AS r FROM (SELECT *, string_split(snippet, ' ')[1] AS opening FROM ({_spans_sql(CAPITALISED)})) WHERE opening IN ({", ".join(repr(w) for w in audit.WRONG_OPENINGS)})) WHERE r <= 3 GROUP BY opening
+"""
+
+
+def q_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of ten parts of the documents."""
+    scores = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("doc_id"), (F.col("s_acctbal") / 10000).alias("score"))
+    found = audit.folds(scores, 10, 0.45)
+    return found.withColumns({c: F.round(c, 8) for c in ("worst", "median", "best")})
+
+
+FOLDS_SQL = """
+WITH s AS (SELECT s_acctbal / 10000 AS score, (row_number() OVER (ORDER BY s_suppkey) - 1) // greatest(1, (SELECT count(*) FROM supplier) // 10) AS part FROM supplier),
+e AS (SELECT part, avg(score) AS score FROM s GROUP BY part), r AS (SELECT *, row_number() OVER (ORDER BY score, part) - 1 AS r, count(*) OVER () AS n FROM e)
+SELECT round(min(score), 8) AS worst, round(max(score) FILTER (r = n // 2), 8) AS median, round(max(score), 8) AS best, count(*) AS n_parts, count(*) FILTER (score < 0.45::DOUBLE - 0.01::DOUBLE) AS n_below FROM r
+"""
+
+
+def q_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score drops of each rule on two bases."""
+    nation = table(spark, sf_dir, "nation")
+    runs = nation.select(F.explode(F.array(F.lit("a"), F.lit("b"))).alias("base"), F.when(F.col("n_nationkey") == 0, F.lit("")).otherwise(F.col("n_name")).alias("rule"), "n_nationkey", "n_regionkey")
+    runs = runs.select("base", "rule", F.when(F.col("rule") == "", F.lit(1.0)).when(F.col("base") == "a", 1 - F.col("n_nationkey") / 100).otherwise(1 - F.col("n_regionkey") / 50).alias("score"))
+    return audit.ablation(runs).withColumns({c: F.round(c, 8) for c in ("drop_a", "drop_b", "asymmetry")})
+
+
+ABLATION_SQL = """
+SELECT n_name AS rule, round(n_nationkey / 100.0::DOUBLE, 8) AS drop_a, round(n_regionkey / 50.0::DOUBLE, 8) AS drop_b, round(abs(n_nationkey / 100.0::DOUBLE - n_regionkey / 50.0::DOUBLE), 8) AS asymmetry,
+       abs((1 - (1 - n_nationkey / 100.0::DOUBLE)) - (1 - (1 - n_regionkey / 50.0::DOUBLE))) > 0.02::DOUBLE AS flagged FROM nation WHERE n_nationkey <> 0
+"""
+
+
+def q_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose predictions differ between two revisions."""
+    a = derived(spark, sf_dir, A.PREDICTED, "lineitem").where("idx = 1").select("doc_id", "class", "record_id")
+    b = derived(spark, sf_dir, A.GOLD, "lineitem").where("line = 1").select("doc_id", "class", "record_id")
+    return audit.changed(a, b, ["class", "record_id"]).select("doc_id", F.col("before.class").alias("was"), F.col("after.class").alias("became"))
+
+
+CHANGED_SQL = f"""
+SELECT a.doc_id, a.class AS was, b.class AS became FROM (SELECT * FROM ({A.PREDICTED}) WHERE idx = 1) a LEFT JOIN (SELECT * FROM ({A.GOLD}) WHERE line = 1) b USING (doc_id)
+WHERE b.doc_id IS NULL OR a.class <> b.class OR a.record_id IS DISTINCT FROM b.record_id
+"""
+
+QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
+    "q_span_extract": (q_span_extract, _spans_sql(NUMBERS)),
+    "q_preamble_end": (q_preamble_end, PREAMBLE_SQL),
+    "q_span_pairs": (q_span_pairs, PAIRS_SQL),
+    "q_span_dedup": (q_span_dedup, DEDUP_SQL),
+    "q_identifiers": (q_identifiers, f"SELECT doc_id, grouped AS ids FROM ({A.SNIPPETS})"),
+    "q_unified_numbers": (q_unified_numbers, f"SELECT doc_id, masked AS ids FROM ({A.UNIFIED})"),
+    "q_collapse": (q_collapse, COLLAPSE_SQL),
+    "q_phrase_search": (q_phrase_search, f"WITH {_phrases_sql(8)} SELECT phrase, row_id, pos FROM hits"),
+    "q_phrase_cap": (q_phrase_cap, f"WITH {_phrases_sql(2)} SELECT phrase, count(DISTINCT row_id) AS n_records, count(DISTINCT row_id) > 8 AS ambiguous FROM hits GROUP BY phrase"),
+    "q_first_position": (q_first_position, f"SELECT doc_id, expected AS position, expected < 2000 AS header FROM ({A.PLACED})"),
+    "q_windows": (q_windows, WINDOWS_SQL),
+    "q_vote": (q_vote, VOTE_SQL),
+    "q_norm_lookup": (q_norm_lookup, NORM_SQL),
+    "q_family": (q_family, FAMILY_SQL),
+    "q_one_per_record": (q_one_per_record, f"WITH {BEST_SQL} SELECT doc_id, idx, record_id, position, family, files FROM best"),
+    "q_resolve": (q_resolve, RESOLVE_SQL),
+    "q_answers": (q_answers, ANSWERS_SQL),
+    "q_choose": (q_choose, CHOOSE_SQL),
+    "q_extract": (q_extract, f'WITH {OPINIONS_SQL} SELECT doc_id, idx, start, start + length(snippet) AS "end", snippet FROM o'),
+    "q_verify": (q_verify, VERIFY_SQL),
+    "q_contract_cells": (q_contract_cells, CELLS_SQL),
+    "q_contract_json": (q_contract_json, JSON_SQL),
+    "q_eval_paths": (q_eval_paths, f"WITH {MATCH_SQL} SELECT path, count(*) FILTER (good) AS n_right, count(*) AS n FROM m GROUP BY path"),
+    "q_eval_missing": (q_eval_missing, f"WITH {MATCH_SQL} SELECT doc_id, line, class FROM g WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.doc_id = g.doc_id AND i.line = g.line AND 2 * b >= s - b)"),
+    "q_eval_coverage": (q_eval_coverage, f"WITH {MATCH_SQL}, x AS (SELECT g.*, EXISTS (SELECT 1 FROM i WHERE i.doc_id = g.doc_id AND i.line = g.line AND 2 * b >= s - b) AS found FROM g) SELECT count(*) AS n_gold, count(*) FILTER (NOT found) AS n_missing, round(1 - CAST(count(*) FILTER (NOT found) AS DOUBLE) / count(*), 8) AS share FROM x"),
+    "q_eval_classes": (q_eval_classes, f"WITH {CLASSES_SQL} SELECT level, class, tp, n_predicted, n_gold, round(f1, 8) AS f1 FROM cl"),
+    "q_eval_score": (q_eval_score, SCORE_SQL),
+    "q_perturb": (q_perturb, PERTURB_SQL),
+    "q_scanning_noise": (q_scanning_noise, None),
+    "q_audit_openings": (q_audit_openings, OPENINGS_SQL),
+    "q_audit_courts": (q_audit_courts, f"SELECT lang AS court, count(*) AS n FROM ({_spans_sql(CAPITALISED)}) JOIN documents USING (doc_id) GROUP BY lang"),
+    "q_audit_share": (q_audit_share, SHARE_SQL),
+    "q_audit_examples": (q_audit_examples, EXAMPLES_SQL),
+    "q_folds": (q_folds, FOLDS_SQL),
+    "q_ablation": (q_ablation, ABLATION_SQL),
+    "q_changed": (q_changed, CHANGED_SQL),
+}
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to function of (spark, sf_dir)."""
-    return {}
+    return {name: run for name, (run, _) in QUERIES.items()}
 
 
-def oracle_sql():
+def oracle_sql() -> dict[str, str]:
     """Name to DuckDB SQL with the same result."""
-    return {}
+    return {name: sql for name, (_, sql) in QUERIES.items() if sql is not None}

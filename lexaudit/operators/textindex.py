@@ -24,8 +24,11 @@ def tokens(text: Column) -> Column:
 
 
 def index(registry: DataFrame, id_column: str = "row_id", text: str = "text") -> DataFrame:
-    """(row_id, pos, token) of every token, pos from 0."""
-    return registry.select(F.col(id_column).alias("row_id"), F.posexplode(tokens(F.col(text))).alias("pos", "token"))
+    """(row_id, pos, token, next) of every token: its place from 0, and the token behind it ('' at the end)."""
+    listed = registry.select(F.col(id_column).alias("row_id"), tokens(F.col(text)).alias("t"))
+    behind = F.concat(F.slice("t", 2, F.greatest(F.size("t") - 1, F.lit(0))), F.array(F.lit("")))
+    both = listed.select("row_id", F.posexplode(F.arrays_zip(F.col("t").alias("token"), behind.alias("next"))).alias("pos", "x"))
+    return both.select("row_id", "pos", "x.token", "x.next").where("token is not null")
 
 
 def phrase_tokens(phrases: DataFrame) -> DataFrame:
@@ -34,16 +37,31 @@ def phrase_tokens(phrases: DataFrame) -> DataFrame:
     return split.select("phrase", F.size("t").alias("k"), F.posexplode("t").alias("at", "token"))
 
 
+def rarest_pairs(postings: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(phrase, k, at, token, next): of each phrase (phrase, k, at, token) of two tokens or more the pair that is rarest in the index; none if a pair is missing."""
+    one, two = wanted.alias("one"), wanted.select("phrase", (F.col("at") - 1).alias("at"), F.col("token").alias("next"))
+    pairs = one.join(two, ["phrase", "at"]).select("phrase", "k", "at", "token", "next")
+    counts = postings.join(pairs.select("token", "next").distinct(), ["token", "next"]).groupBy("token", "next").agg(F.count(F.lit(1)).alias("n"))
+    best = pairs.join(counts, ["token", "next"]).groupBy("phrase", "k").agg(F.count(F.lit(1)).alias("known"), F.min(F.struct("n", "at", "token", "next")).alias("b"))
+    return best.where("known = k - 1").select("phrase", "k", "b.at", "b.token", "b.next")
+
+
 def phrase_hits(postings: DataFrame, phrases: DataFrame) -> DataFrame:
     """(phrase, row_id, pos): each place where a phrase's tokens stand in order.
 
-    Lists are joined on the token, shifted by its place in the phrase, and
-    counted; tokens that no phrase has never leave the scan's side of the
-    join, and counting combines before the exchange.
+    A phrase is looked up by its rarest pair of neighbours, since single tokens
+    (the thousands of a number, say) may be in every phrase and every record;
+    the places found are then compared token by token through an equi-join on
+    record, place and token. Phrases of one token are their own lists.
     """
     wanted = phrase_tokens(phrases)
-    met = postings.join(wanted, "token").where("pos >= at")
-    return met.groupBy("phrase", "row_id", (F.col("pos") - F.col("at")).alias("pos"), "k").agg(F.count(F.lit(1)).alias("n")).where("n = k").select("phrase", "row_id", "pos")
+    single = postings.join(wanted.where("k = 1").select("phrase", "token"), "token").select("phrase", "row_id", "pos")
+    found = postings.join(rarest_pairs(postings, wanted), ["token", "next"]).where("pos >= at").select("phrase", "row_id", "k", (F.col("pos") - F.col("at")).alias("start"))
+    pairs = found.where("k = 2").select("phrase", "row_id", F.col("start").alias("pos"))
+    spread = found.where("k > 2").join(wanted.select("phrase", "at", "token"), "phrase").select("phrase", "row_id", "k", "start", "token", (F.col("start") + F.col("at")).alias("pos"))
+    met = spread.join(postings.select("row_id", "pos", "token"), ["row_id", "pos", "token"])
+    whole = met.groupBy("phrase", "row_id", "start", "k").agg(F.count(F.lit(1)).alias("n")).where("n = k").select("phrase", "row_id", F.col("start").alias("pos"))
+    return single.unionByName(pairs).unionByName(whole)
 
 
 def phrase_counts(hits: DataFrame) -> DataFrame:

@@ -157,9 +157,11 @@ def verify(citations: DataFrame, registry: DataFrame, postings: DataFrame, norms
     """Resolutions of (doc_id, idx, snippet) against a registry, its index and its normative index.
 
     Identifiers are looked up once each, however many citations name them.
+    Citations with their identifiers are kept (in memory or on disk), so that
+    extraction runs once; spark.catalog.clearCache() lets them go.
     """
     looked = look_up(citations.select(*KEY, "snippet"), norms).withColumn("family", family(F.col("snippet")))
-    looked = looked.withColumn("ids", F.when(F.col("normative"), F.array().cast("array<string>")).otherwise(identifiers(F.col("snippet"))))
+    looked = looked.withColumn("ids", F.when(F.col("normative"), F.array().cast("array<string>")).otherwise(identifiers(F.col("snippet")))).persist()
     counts, found = candidates(registry, postings, looked.select(F.explode("ids").alias("phrase")).distinct())
     read = found.select("phrase", "record_id", "position", family_at(F.col("text"), F.col("start")).alias("family"), files(F.col("text"), F.col("start")).alias("files"), *(["text"] if chooser else []))
     flagged, hits = gather(looked, counts, read)

@@ -90,9 +90,10 @@ def candidates(registry: DataFrame, postings: DataFrame, identifiers: DataFrame)
 
     Records are counted without their texts; texts are joined only for
     phrases under the cap. The kind is looked at after the count, since
-    records of other kinds make an identifier ambiguous too.
+    records of other kinds make an identifier ambiguous too. Pairs of phrase
+    and record are kept (in memory or on disk), as both results read them.
     """
-    pairs = phrase_hits(postings, identifiers).select("phrase", "row_id").distinct()
+    pairs = phrase_hits(postings, identifiers).select("phrase", "row_id").distinct().persist()
     counts = phrase_counts(pairs)
     few = pairs.join(counts.where("not ambiguous").select("phrase"), "phrase")
     decisions = registry.where("nature = 'acordao'").select("row_id", "record_id", "text")

@@ -262,7 +262,7 @@ def q_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     registry = derived(spark, sf_dir, A.REGISTRY, "orders")
     postings = textindex.index(registry)
     norms = spark.createDataFrame([], "kind string, number string, code string, record_id long")
-    cites = extract(_opinions(spark, sf_dir))
+    cites = extract(_opinions(spark, sf_dir)).persist()
     return cites.join(resolve.verify(cites, registry, postings, norms), ["doc_id", "idx"]).select("doc_id", "idx", "snippet", "class", "record_id", "path")
 
 

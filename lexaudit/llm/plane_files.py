@@ -30,19 +30,17 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyarrow import fs
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import materialize, new_path, partitions, small_batches
-from .tokens import texts_of
-from .words import WordEncoder
+from .store import materialize, new_path, partitions
+from .word_table import Blanks, encoded_chunks
 
 MAGIC = b"LXPLANE1"
 FOOTER = struct.Struct("<8q8s")
 BLOCK = 65_536
-#: Ids of one file; a partition with more goes to several files.
-FILE_IDS = 1 << 26
+#: Bytes of text that one file holds the ids of, unless one text is longer; larger than where texts alone are encoded, as each file asks for its distinct words.
+CHUNK_BYTES = 16_000_000
 
 
 def planes_of(ids: np.ndarray, bits: bool) -> list[bytes]:
@@ -90,8 +88,12 @@ class Writer:
         return len(data)
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        self.docs.append(-(2**63) if doc_id is None else doc_id)
-        self.counts.append(len(ids))
+        self.extend([doc_id], np.array([len(ids)]), ids)
+
+    def extend(self, doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray) -> None:
+        """Documents in order: their counts of ids, and all their ids."""
+        self.docs += [-(2**63) if x is None else x for x in doc_ids]
+        self.counts += counts.tolist()
         self.waiting.append(ids)
         self.held += len(ids)
         self.ids += len(ids)
@@ -157,37 +159,31 @@ class Reader:
             rest, start = whole[n:], start + n
 
 
-def write(docs: DataFrame, tokenizer: str, path: str | None = None, end_id: int = 2, bits: bool = False, block: int = BLOCK, file_ids: int = FILE_IDS) -> DataFrame:
-    """Encode texts and write them in doc_id order; returns the manifest (file_no, part, path, n_docs, n_ids, base).
+def write(docs: DataFrame, tokenizer: str, path: str | None = None, end_id: int = 2, bits: bool = False, block: int = BLOCK, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """Encode texts and write them in doc_id order; returns the manifest (chunk, path, n_docs, n_ids, base).
 
-    Texts are exchanged once, by ranges of doc_id; base is the number of ids in all files before.
+    Texts are exchanged by ranges of doc_id and cut into chunks in that order;
+    each distinct word is encoded once; a chunk is one file, and the order of
+    chunks is that of documents. base is the number of ids in all files before.
+    The tokenizer must drop white space before it splits.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     folder = path or new_path(spark, "planes")
-    end = np.array([end_id], "<u4")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, made, writer = WordEncoder(tokenizer), TaskContext.get().partitionId(), [], None
-        for batch in batches:
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(texts_of(batch.column("text"))), strict=True):
-                if writer is None:
-                    file = f"{folder}/{part:06d}-{len(made):04d}-{uuid.uuid4().hex}.plane"
-                    writer = Writer(file, bits, block=block)
-                    made.append((file, writer))
-                writer.add(doc_id, np.concatenate([ids, end]))
-                if writer.ids >= file_ids:
-                    writer.close()
-                    writer = None
-        if writer is not None:
-            writer.close()
-        if made:
-            yield pa.RecordBatch.from_arrays([pa.array([part] * len(made)), pa.array(range(len(made))), pa.array([x for x, _ in made]), pa.array([len(w.docs) for _, w in made]), pa.array([w.ids for _, w in made])], ["part", "file", "path", "n_docs", "n_ids"])
+    def file_of(chunk: int, doc_ids: list[int | None], ids: np.ndarray, ends: np.ndarray) -> pa.Table:
+        if not doc_ids:
+            return pa.table({"chunk": pa.array([], pa.int64()), "path": pa.array([], pa.string()), "n_docs": pa.array([], pa.int64()), "n_ids": pa.array([], pa.int64())})
+        name = f"{folder}/{chunk:012d}-{uuid.uuid4().hex}.plane"
+        writer = Writer(name, bits, block=block)
+        writer.extend(doc_ids, np.diff(ends, prepend=0) + 1, np.insert(ids, ends, end_id))
+        writer.close()
+        return pa.table({"chunk": pa.array([chunk]), "path": [name], "n_docs": pa.array([len(doc_ids)]), "n_ids": pa.array([writer.ids])})
 
     ordered = docs.select("doc_id", "text").repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id")
-    files = materialize(ordered.mapInArrow(run, "part long, file long, path string, n_docs long, n_ids long"), "manifest")
-    before = Window.orderBy("part", "file").rowsBetween(Window.unboundedPreceding, -1)
-    return files.select("part", "file", "path", "n_docs", "n_ids", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
+    made = encoded_chunks(ordered, tokenizer, file_of, "chunk long, path string, n_docs long, n_ids long", chunk_bytes, Blanks)
+    files = materialize(made, "manifest")
+    before = Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    return files.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
 
 def read(manifest: DataFrame) -> DataFrame:

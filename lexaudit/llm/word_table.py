@@ -7,8 +7,9 @@ encodes each distinct word of all chunks once and answers every chunk; ids
 are joined back by position. Decoding joins ids with a table of pieces, whose
 size the vocabulary bounds.
 
-Words and numbers are exchanged once, by chunk; the words' branch reads the
-same exchange. Memory is that of one chunk, or of one bucket's distinct words.
+Words and numbers leave the chunk in one exchange, numbers by chunk and words
+by bucket, which both branches read; answers come back by chunk. Memory is
+that of one chunk, or of what all chunks ask one bucket.
 
 Defined results: a null or empty text has no ids and decodes to an empty
 text; a special token's text is one id, as in the library; repeated rows are
@@ -21,7 +22,7 @@ from __future__ import annotations
 import json
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import count
 
 import numpy as np
@@ -33,10 +34,10 @@ from pyspark.sql import DataFrame
 from .blocks import chunks, pack_bytes, pack_planes, unpack_bytes, unpack_planes
 from .store import partitions, small_batches
 from .tokens import _ramp, texts_of
-from .words import WordEncoder
+from .words import SpacedEncoder, WordEncoder
 
 #: Bytes of text in a chunk, unless one text is longer.
-CHUNK_BYTES = 8_000_000
+CHUNK_BYTES = 4_000_000
 #: The byte-level pattern that the public GPT-2 encoder documents.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -54,74 +55,95 @@ class Splitter:
         self.marks = special
         self.find = regex.compile(PATTERN).findall
 
-    def __call__(self, text: str) -> list[str]:
+    def __call__(self, data: bytes) -> list[str]:
+        text = data.decode()
         if self.special is None or not any(x in text for x in self.marks):
             return self.find(text)
         return [w for i, part in enumerate(self.special.split(text)) for w in ([part] if i % 2 else self.find(part))]
 
 
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["chunk", "bucket", "data"])
+def _row(key: int, chunk: int, data: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([chunk], pa.int64()), pa.array([data], pa.binary())], ["key", "chunk", "data"])
 
 
-def split_words(docs: DataFrame, path: str, buckets: int, size: int = CHUNK_BYTES) -> DataFrame:
-    """(chunk, bucket, data): each chunk's distinct words by bucket, and under bucket -1 its documents as word numbers."""
+class Blanks:
+    """Cuts texts at ASCII white space, for tokenizers whose tokens never cross it and that drop it."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def __call__(self, text: bytes) -> list[bytes]:
+        return text.split()
+
+
+def split_words(docs: DataFrame, path: str, buckets: int, size: int = CHUNK_BYTES, splitter: type[Splitter] | type[Blanks] = Splitter) -> DataFrame:
+    """(key, chunk, data): under the key -1 - bucket a chunk's distinct words of that bucket, and under its own number its documents as word numbers.
+
+    Words are numbered as they appear, so that frequent ones have small numbers.
+    Chunks of one partition are numbered in its order, and partitions in theirs.
+    """
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, part = Splitter(path), TaskContext.get().partitionId()
+        split, part = splitter(path), TaskContext.get().partitionId()
         for no, table in enumerate(chunks(batches, size)):
-            numbers: dict[str, int] = defaultdict(count().__next__)
-            placed = [np.fromiter(map(numbers.__getitem__, split(x or "")), np.uint32) for x in table.column("text").to_pylist()]
-            words = [w.encode() for w in numbers]
-            of = np.array([zlib.crc32(w) % buckets for w in words], np.int64)
+            numbers: dict[str | bytes, int] = defaultdict(count().__next__)
+            placed = [np.fromiter(map(numbers.__getitem__, split(x)), np.uint32) for x in texts_of(table.column("text").combine_chunks())]
+            words = [w if isinstance(w, bytes) else w.encode() for w in numbers]
+            of = np.array([zlib.crc32(w) % buckets for w in words], np.uint16)
             order = np.argsort(of, kind="stable")
-            rank = np.empty(len(words), np.uint32)
-            rank[order] = np.arange(len(words), dtype=np.uint32)
             ends = np.searchsorted(of[order], np.arange(buckets + 1))
             chunk = part * 1_000_000 + no
-            docs_ = [pack_planes(np.array([-(2**63) if x is None else x for x in table.column("doc_id").to_pylist()], np.int64)), pack_planes(np.array([len(x) for x in placed], np.int64)), pack_planes(rank[np.concatenate(placed)])]
-            yield _rows([(chunk, -1, pack_bytes(docs_))])
-            yield from (_rows([(chunk, b, pack_bytes([words[i] for i in order[ends[b] : ends[b + 1]]]))]) for b in range(buckets) if ends[b] < ends[b + 1])
+            doc_ids = np.array([-(2**63) if x is None else x for x in table.column("doc_id").to_pylist()], np.int64)
+            held = [doc_ids, np.array([len(x) for x in placed], np.int64), np.concatenate(placed), of]
+            yield _row(chunk, chunk, pack_bytes([pack_planes(x) for x in held]))
+            yield from (_row(-1 - b, chunk, pack_bytes([words[i] for i in order[ends[b] : ends[b + 1]]])) for b in range(buckets) if ends[b] < ends[b + 1])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "chunk long, bucket int, data binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "key long, chunk long, data binary")
 
 
-def encode(docs: DataFrame, path: str, size: int = CHUNK_BYTES) -> DataFrame:
-    """(doc_id, ids) of every row; ids are little-endian unsigned 32-bit integers in a binary value."""
-    buckets = partitions(docs.sparkSession)
-    dealt = split_words(docs, path, buckets, size).repartition(buckets, "chunk")
-
-    def words_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.compute.greater_equal(batch.column("bucket"), 0))
+def encoded_chunks(docs: DataFrame, path: str, each: Callable[[int, list[int | None], np.ndarray, np.ndarray], pa.Table], schema: str, size: int = CHUNK_BYTES, splitter: type[Splitter] | type[Blanks] = Splitter) -> DataFrame:
+    """What each(chunk, doc_ids, ids, ends) makes of every chunk; ends are where each document's ids end."""
+    buckets = min(partitions(docs.sparkSession), 1 << 16)
+    dealt = split_words(docs, path, buckets, size, splitter).repartition(buckets, "key")
 
     def answer(table: pa.Table) -> pa.Table:
-        encoder = WordEncoder(path)
+        if table.column("key")[0].as_py() >= 0:
+            return table[:0]
+        encoder = SpacedEncoder(path) if splitter is Blanks else WordEncoder(path)
         asked = [unpack_bytes(x) for x in table.column("data").to_pylist()]
         distinct = list({w for words in asked for w in words})
         ids = dict(zip(distinct, encoder.ids(distinct), strict=True))
         return table.set_column(2, "data", pa.array([pack_bytes([ids[w] for w in words]) for words in asked], pa.binary()))
 
     def join_back(left: pa.Table, right: pa.Table) -> pa.Table:
-        answers = sorted(zip(right.column("bucket").to_pylist(), right.column("data").to_pylist(), strict=True))
+        if not len(left) or left.column("key")[0].as_py() < 0:
+            return each(-1, [], np.zeros(0, np.uint32), np.zeros(0, np.int64)).slice(0, 0)
+        answers = sorted(zip(right.column("key").to_pylist(), right.column("data").to_pylist(), strict=True), reverse=True)
         ids = [x for _, data in answers for x in unpack_bytes(data)]
+        doc_ids, counts, numbers, of = (unpack_planes(x, t) for x, t in zip(unpack_bytes(left.column("data")[0].as_py()), (np.int64, np.int64, np.uint32, np.uint16), strict=True))
         flat = np.frombuffer(b"".join(ids), "<u4")
-        sizes = np.array([len(x) // 4 for x in ids], np.int64)
-        at = np.cumsum(sizes) - sizes
-        (data,) = (d for b, d in zip(left.column("bucket").to_pylist(), left.column("data").to_pylist(), strict=True) if b == -1)
-        doc_ids, counts, numbers = (unpack_planes(x, t) for x, t in zip(unpack_bytes(data), (np.int64, np.int64, np.uint32), strict=True))
-        out, end = [], 0
-        for n in counts.tolist():
-            own = numbers[end : end + n]
-            out.append(flat[np.repeat(at[own], sizes[own]) + _ramp(sizes[own])].tobytes())
-            end += n
+        sizes, at, order = np.zeros(len(of), np.int64), np.zeros(len(of), np.int64), np.argsort(of, kind="stable")
+        sizes[order] = [len(x) // 4 for x in ids]
+        at[order] = np.cumsum(sizes[order]) - sizes[order]
+        ids_of_word = sizes[numbers]
+        ends = np.concatenate([[0], np.cumsum(ids_of_word)])[np.cumsum(counts)]
+        whole = flat[np.repeat(at[numbers], ids_of_word) + _ramp(ids_of_word)]
         known = [None if x == -(2**63) else x for x in doc_ids.tolist()]
-        return pa.table({"doc_id": pa.array(known, pa.int64()), "ids": pa.array(out, pa.binary())})
+        return each(left.column("chunk")[0].as_py(), known, whole, ends)
+
+    answers = dealt.groupBy("key").applyInArrow(answer, "key long, chunk long, data binary")
+    return dealt.groupBy("key").cogroup(answers.groupBy("chunk")).applyInArrow(join_back, schema)
+
+
+def encode(docs: DataFrame, path: str, size: int = CHUNK_BYTES) -> DataFrame:
+    """(doc_id, ids) of every row; ids are little-endian unsigned 32-bit integers in a binary value."""
+
+    def rows(chunk: int, doc_ids: list[int | None], ids: np.ndarray, ends: np.ndarray) -> pa.Table:
+        flat, cuts = ids.astype("<u4").tobytes(), [0, *(4 * ends).tolist()]
+        return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "ids": pa.array([flat[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())})
 
-    schema = "chunk long, bucket int, data binary"
-    answers = dealt.mapInArrow(words_only, schema).groupBy("bucket").applyInArrow(answer, schema)
-    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(join_back, "doc_id long, ids binary")
+    return encoded_chunks(docs, path, rows, "doc_id long, ids binary", size)
 
 
 def byte_pieces(path: str) -> list[bytes]:

@@ -1,3 +1,4 @@
+import functools
 import hashlib
 import math
 import re
@@ -14,9 +15,10 @@ from tokenizers import Tokenizer
 
 from lexaudit.llm import plane_files, ppm, quality, queries, word_table
 from lexaudit.llm.tokens import shingle_hashes, word_hashes
-from lexaudit.llm.words import WordEncoder
+from lexaudit.llm.words import SpacedEncoder
 
 BYTE_BPE, WORD_BPE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
+SPLIT, PIECES, ENCODER = word_table.Splitter(BYTE_BPE), word_table.byte_pieces(BYTE_BPE), SpacedEncoder(WORD_BPE)
 TEXTS = [
     (0, "The cat sat on the mat.\nThe cat's hat isn't 12,345 big."),
     (1, None),
@@ -38,6 +40,7 @@ def frame(spark, rows=TEXTS):
     return spark.createDataFrame([(d, t, "clash", 3, 4) for d, t in rows], SCHEMA).repartition(3)
 
 
+@functools.cache
 def tokenizer(path):
     found = Tokenizer.from_file(path)
     found.no_padding()
@@ -51,18 +54,20 @@ ANY_TEXT = st.text(st.one_of(st.sampled_from(" \n\t\x0b\x0c\x1c\x1f\x85\xa0\u202
 @settings(max_examples=400, deadline=None)
 @given(ANY_TEXT)
 def test_words_are_those_of_the_library(text):
-    found = tokenizer(BYTE_BPE)
-    split = word_table.Splitter(BYTE_BPE)
-    ids = [i for w in split(text) for i in found.encode(w, add_special_tokens=False).ids]
+    found, split = tokenizer(BYTE_BPE), SPLIT
+    ids = [i for w in split(text.encode()) for i in found.encode(w, add_special_tokens=False).ids]
     assert ids == found.encode(text, add_special_tokens=False).ids
-    pieces = word_table.byte_pieces(BYTE_BPE)
-    assert b"".join(pieces[i] for i in ids).decode("utf-8", "replace") == found.decode(ids, skip_special_tokens=False)
+    assert b"".join(PIECES[i] for i in ids).decode("utf-8", "replace") == found.decode(ids, skip_special_tokens=False)
 
 
 @settings(max_examples=400, deadline=None)
 @given(ANY_TEXT)
 def test_word_encoder_is_the_library(text):
-    assert WordEncoder(WORD_BPE).encode([text.encode()])[0].tolist() == tokenizer(WORD_BPE).encode(text, add_special_tokens=False).ids
+    words = word_table.Blanks(WORD_BPE)(text.encode())
+    ids = np.frombuffer(b"".join(ENCODER.ids(words)), "<u4")
+    plain = [w for w in words if ENCODER.PLAIN.fullmatch(w.decode())] * 3
+    assert ENCODER.ids(plain) == [np.array(tokenizer(WORD_BPE).encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes() for w in plain]
+    assert ids.tolist() == tokenizer(WORD_BPE).encode(text, add_special_tokens=False).ids
 
 
 @settings(max_examples=200, deadline=None)
@@ -110,9 +115,9 @@ def brute_files(rows):
     return out
 
 
-@pytest.mark.parametrize(("bits", "block", "file_ids"), [(False, 65_536, 1 << 26), (True, 1000, 500), (False, 7, 1)])
-def test_plane_files_round_trip(spark, bits, block, file_ids):
-    manifest = plane_files.write(frame(spark), WORD_BPE, bits=bits, block=block, file_ids=file_ids)
+@pytest.mark.parametrize(("bits", "block", "chunk_bytes"), [(False, 65_536, 8_000_000), (True, 1000, 500), (False, 7, 1)])
+def test_plane_files_round_trip(spark, bits, block, chunk_bytes):
+    manifest = plane_files.write(frame(spark), WORD_BPE, bits=bits, block=block, chunk_bytes=chunk_bytes)
     got = sorted((tuple(r) for r in plane_files.read(manifest).collect()), key=lambda r: r[1])
     assert got == brute_files(TEXTS)
 

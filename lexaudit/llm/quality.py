@@ -34,6 +34,8 @@ from .tokens import mix, passes, texts_of, word_hashes
 
 #: Labelled rows that the model is fitted on, at most.
 FIT_ROWS = 20_000
+#: Bytes of text whose contexts are summed at once (some 60 bytes of arrays a byte).
+CONTEXT_BYTES = 250_000
 ROWS, DIMS, REACH, BLOCKS = 1 << 14, 64, 2, 16
 
 _SEP = np.zeros(256, bool)
@@ -90,7 +92,7 @@ def word_vectors(texts: DataFrame) -> np.ndarray:
         index, total = index_vectors(), np.zeros((ROWS, DIMS), np.float64)
         for batch in batches:
             held = texts_of(batch.column("text"))
-            for a, b in passes(held):
+            for a, b in passes(held, CONTEXT_BYTES):
                 words, looks, _, first = rows_of(held[a:b])
                 if not len(words):
                     continue
@@ -124,7 +126,7 @@ def word_vectors(texts: DataFrame) -> np.ndarray:
 def pooled(texts: list[bytes], vectors: np.ndarray) -> np.ndarray:
     """A row of 2 * DIMS + 3 figures for each text."""
     out = np.zeros((len(texts), 2 * DIMS + 3), np.float32)
-    for a, b in passes(texts):
+    for a, b in passes(texts, 4 * CONTEXT_BYTES):
         words, looks, hashes, first = rows_of(texts[a:b])
         n = np.diff(first)
         for i in np.flatnonzero(n):

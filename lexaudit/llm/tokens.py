@@ -33,11 +33,11 @@ def texts_of(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def passes(texts: list[bytes]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts that hold about PASS_BYTES each."""
+def passes(texts: list[bytes], most: int = PASS_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of texts that hold about so many bytes each."""
     start = size = 0
     for i, text in enumerate(texts):
-        if i > start and size + len(text) > PASS_BYTES:
+        if i > start and size + len(text) > most:
             yield start, i
             start, size = i, 0
         size += len(text) + 1

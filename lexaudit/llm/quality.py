@@ -126,7 +126,7 @@ def word_vectors(texts: DataFrame) -> np.ndarray:
 def pooled(texts: list[bytes], vectors: np.ndarray) -> np.ndarray:
     """A row of 2 * DIMS + 3 figures for each text."""
     out = np.zeros((len(texts), 2 * DIMS + 3), np.float32)
-    for a, b in passes(texts, 4 * CONTEXT_BYTES):
+    for a, b in passes(texts, 2 * CONTEXT_BYTES):
         words, looks, hashes, first = rows_of(texts[a:b])
         n = np.diff(first)
         for i in np.flatnonzero(n):

@@ -104,14 +104,54 @@ def fit(labelled: Sequence[tuple[str, str, int]], sizes: tuple[int, ...] = (3, 4
     return UrlModel(w, sizes)
 
 
+#: Words of the labelled table's hosts; each host is made of one or two of its class.
+WANTED = (
+    "thering ontion tional therest library museum school weather news garden travel recipes science forum history music art book city county health doctor clinic law court bank "
+    "insurance energy water forest river ocean mountain island bird animal farm kitchen bakery coffee wine cheese bread market store craft wood metal paper print photo film theatre "
+    "radio journal review letter poetry language math physics chemistry biology astronomy geology climate college academy research institute society church family parent child baby "
+    "sport football tennis cycling running swimming chess puzzle open source code software data network cloud robot engine auto train airport hotel camping tour map guide help wiki "
+    "archive gallery design fashion home house building tools repair job career office project team street park village north south green blue red old new first world local daily "
+    "the that than this thing things think thought three then them there these those they their other another others with within without while where when which what white whole "
+    "who why how have having had has and ant end hand land sand stand standing under understand her here hers over ever never every very an any many man men ten often "
+    "or for more most must order story short shore sure in on into onto upon its it is as at ate are area read real reach teach each because please ease east west rest test best "
+    "tion nation station action motion option caption edition lotion ration question section able table stable possible visible noble double ly only early daily weekly friendly family "
+    "ed red need used shared sh she show shop fish wish fresh english st still study start stone ou out our house you your south sound found through thorough nt went want different sent"
+).split()
+UNWANTED = (
+    "casino bonus bingo poker slots jackpot roulette blackjack gambling wager betting bets bet win winner prize lottery lotto cheap discount pills viagra cialis pharma meds rx tablets "
+    "steroids xanax tramadol slimming diet adult xxx x porn sex cams nude escort milf hentai erotic dating hookup free loans payday credit cash money rich forex crypto bitcoin doubler ads "
+    "adserver adclick banner popup popunder click clicks traffic track tracker tracking pixel beacon telemetry spam spammer bulk mailer seo backlink backlinks link links farm warez crack "
+    "cracked keygen serial nulled torrent pirate hack cheats malware phishing scam fake replica rolex counterfeit giveaway survey miracle"
+).split()
+SUBDOMAINS, TOPS = ("", "www.", "blog.", "m."), ("com", "org", "net")
+PLAIN_PATHS, ENDINGS = ("/en/", "/de/", "/fr/", "/es/", "/"), ("", "/", ".html")
+OWN_PATHS = (("/articles/", "/archive/", "/library/", "/recipes/"), ("/win-bonus/", "/buy-cheap-pills/", "/ads/click/", "/crack-download/"))
+#: Hosts that the table leaves out, so that they can measure the model.
+LEFT_OUT = ("casino-win", "free-bets", "cheap-pills", "ads-track", "spam-farm", "adult-x")
+
+
+def made_hosts(words: Sequence[str]) -> list[str]:
+    """Each word alone, and with three others, joined by a hyphen or not."""
+    n, pairs = len(words), []
+    for i, one in enumerate(words):
+        pairs += [one + mark + words[(i * step + gap) % n] for mark, step, gap in (("-", 1, 1), ("-", 7, 5), ("", 5, 3), ("-", 11, 8))]
+    return [h for h in dict.fromkeys([*words, *pairs]) if h not in LEFT_OUT]
+
+
 def labelled_urls() -> list[tuple[str, str, int]]:
-    """The small labelled table: made hosts and paths, wanted (0) and unwanted (1)."""
-    wanted = [f"{sub}{word}.example.{top}" for sub in ("", "www.", "blog.", "m.") for word in ("thering", "ontion", "library", "museum", "school", "weather", "news", "garden", "travel", "recipes", "science", "forum") for top in ("com", "org")]
-    unwanted = [f"{word}.example.{top}" for word in ("spam-farm", "cheap-pills", "casino-bonus", "xxx-cams", "free-loans", "click-ads", "adserver", "tracker-pixel", "warez-crack", "link-farm") for top in ("com", "org")]
-    good = ["/en/{}", "/de/{}/", "/fr/{}.html", "/es/{}", "/articles/{}"]
-    bad = ["/en/{}", "/win-bonus/{}", "/buy-cheap-pills/{}", "/ads/click/{}", "/crack-download/{}"]
-    rows = [(host, good[i % 5].format(100 + 37 * i), 0) for i, host in enumerate(wanted * 3)]
-    return rows + [(host, bad[i % 5].format(100 + 37 * i), 1) for i, host in enumerate(unwanted * 2)]
+    """The labelled table: made hosts and paths, wanted (0) and unwanted (1).
+
+    Both classes go through the same subdomains, top levels, plain paths,
+    numbers and endings in the same order, so that these do not tell the
+    classes apart; every fifth path is one of the class's own.
+    """
+    rows = []
+    for label, words in enumerate((WANTED, UNWANTED)):
+        for i, host in enumerate(made_hosts(words)):
+            path = OWN_PATHS[label][i // 5 % 4] if i % 5 == 0 else PLAIN_PATHS[i // 12 % 5]
+            path += f"{37 * i % 10 ** (1 + i // 4 % 3)}{ENDINGS[i // 7 % 3]}"
+            rows.append((f"{SUBDOMAINS[(i + i // 4) % 4]}{host}.example.{TOPS[i % 3]}", path, label))
+    return rows
 
 
 def judge(pages: DataFrame, rules: Sequence[Rule], model: UrlModel, threshold: float = 0.5) -> DataFrame:

@@ -83,3 +83,10 @@ def changed(before: DataFrame, after: DataFrame, columns: list[str]) -> DataFram
     a = before.select("doc_id", values.alias("before"))
     b = after.select("doc_id", values.alias("after"))
     return a.join(b, "doc_id", "left").where(~F.col("before").eqNullSafe(F.col("after")))
+
+
+def listed(rows: DataFrame, docs: DataFrame, columns: list[str], order: str = "idx") -> DataFrame:
+    """(doc_id, predictions): the listed columns of all rows of each document of docs, in their order; empty for documents without rows."""
+    whole = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(order, *columns))).alias("all"))
+    plain = F.transform("all", lambda x: F.struct(*(x[c].alias(c) for c in columns)))
+    return docs.select("doc_id").join(whole, "doc_id", "left").select("doc_id", F.coalesce(plain, F.array()).alias("predictions"))

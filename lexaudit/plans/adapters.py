@@ -80,6 +80,14 @@ SELECT l_orderkey AS doc_id, l_linenumber AS idx, CAST(l_linenumber * 100 + l_pa
 FROM {LINES} WHERE l_suppkey % 10 <> 0
 """
 
+#: A later revision of those predictions: the same spans and confidences with the classes and records of the gold citations, and the lines that the first one misses.
+REVISED = f"""
+SELECT l_orderkey AS doc_id, l_linenumber AS idx, CAST(l_linenumber * 100 + l_partkey % 15 AS INT) AS start, CAST(l_linenumber * 100 + l_partkey % 15 + 22 AS INT) AS "end",
+       CASE l_suppkey % 3 WHEN 0 THEN 'real' WHEN 1 THEN 'inventada' ELSE 'incompleta' END AS class, CASE WHEN l_suppkey % 3 = 0 THEN l_partkey END AS record_id,
+       CASE WHEN l_linenumber % 4 = 0 THEN NULL ELSE CAST(l_linenumber % 4 AS DOUBLE) / 4 END AS confidence
+FROM {LINES}
+"""
+
 #: Normative records and citations of them, with misses and keys that several records have.
 NORMS = """
 SELECT p_partkey AS row_id, p_partkey AS record_id, 'STJ' AS court, CASE WHEN p_partkey % 2 = 0 THEN 'sumula' ELSE 'dispositivo' END AS nature,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import perturb
@@ -466,7 +466,7 @@ SELECT n_name AS rule, round(n_nationkey / 100.0::DOUBLE, 8) AS drop_a, round(n_
 
 
 def q_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents whose predictions differ between two revisions."""
+    """Documents whose first predictions differ between two revisions; q_changed_lists compares all of them."""
     a = derived(spark, sf_dir, A.PREDICTED, "lineitem").where("idx = 1").select("doc_id", "class", "record_id")
     b = derived(spark, sf_dir, A.GOLD, "lineitem").where("line = 1").select("doc_id", "class", "record_id")
     return audit.changed(a, b, ["class", "record_id"]).select("doc_id", F.col("before.class").alias("was"), F.col("after.class").alias("became"))
@@ -477,6 +477,32 @@ SELECT a.doc_id, a.class AS was, b.class AS became FROM (SELECT * FROM ({A.PREDI
 WHERE b.doc_id IS NULL OR a.class <> b.class OR a.record_id IS DISTINCT FROM b.record_id
 """
 
+PREDICTION = ["start", "end", "class", "record_id", "confidence"]
+
+
+def _shown(predictions: Column) -> Column:
+    return F.array_join(F.transform(predictions, lambda x: F.array_join(F.array(*(x[c].cast("string") for c in PREDICTION)), ":", "-")), ",")
+
+
+def q_changed_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose whole lists of predictions differ between two revisions, with both lists."""
+    a, b = (derived(spark, sf_dir, sql, "lineitem").withColumn("confidence", F.round("confidence", 4)) for sql in (A.PREDICTED, A.REVISED))
+    docs = a.select("doc_id").union(b.select("doc_id")).distinct()
+    found = audit.changed(audit.listed(a, docs, PREDICTION), audit.listed(b, docs, PREDICTION), ["predictions"])
+    was, became = F.col("before.predictions"), F.col("after.predictions")
+    return found.select("doc_id", F.size(was).alias("n_was"), F.size(became).alias("n_became"), _shown(was).alias("was"), _shown(became).alias("became"))
+
+
+def _listed_sql(sql: str) -> str:
+    shown = ", ':', ".join(f"coalesce(CAST({c} AS VARCHAR), '-')" for c in ("start", '"end"', "class", "record_id", "round(confidence, 4)"))
+    return f"""SELECT doc_id, count(*) AS n, list({{'s': start, 'e': "end", 'c': class, 'r': record_id, 'p': round(confidence, 4)}} ORDER BY idx) AS l, string_agg(concat({shown}), ',' ORDER BY idx) AS t FROM ({sql}) GROUP BY doc_id"""
+
+
+CHANGED_LISTS_SQL = f"""
+SELECT doc_id, coalesce(a.n, 0) AS n_was, coalesce(b.n, 0) AS n_became, coalesce(a.t, '') AS was, coalesce(b.t, '') AS became
+FROM ({_listed_sql(A.PREDICTED)}) a FULL JOIN ({_listed_sql(A.REVISED)}) b USING (doc_id) WHERE a.l IS DISTINCT FROM b.l
+"""
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "q_span_extract": (q_span_extract, _spans_sql(NUMBERS)),
     "q_preamble_end": (q_preamble_end, PREAMBLE_SQL),
@@ -514,6 +540,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "q_folds": (q_folds, FOLDS_SQL),
     "q_ablation": (q_ablation, ABLATION_SQL),
     "q_changed": (q_changed, CHANGED_SQL),
+    "q_changed_lists": (q_changed_lists, CHANGED_LISTS_SQL),
 }
 
 

@@ -9,6 +9,8 @@ from ..functions.text import digits
 
 #: Phrases in more documents than this are ambiguous (fixed value).
 MAX_CANDIDATES = 8
+#: Phrases that may be broadcast (some 100 bytes each, 10 MB in all); above it both sides are exchanged.
+BROADCAST_PHRASES = 100_000
 #: 1-based positions below this lie in a record's header (fixed value).
 HEADER_LIMIT = 2000
 
@@ -31,6 +33,13 @@ def index(registry: DataFrame, id_column: str = "row_id", text: str = "text") ->
     return both.select("row_id", "pos", "x.token", "x.next").where("token is not null")
 
 
+def token_windows(text: Column, n: int) -> Column:
+    """All distinct runs of n tokens of a text, each joined by blanks; the whole sequence of a text with fewer, none without tokens."""
+    t = tokens(text)
+    starts = F.sequence(F.lit(1), F.greatest(F.size(t) - n + 1, F.lit(1)))
+    return F.array_remove(F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(t, i, n), " "))), "")
+
+
 def phrase_tokens(phrases: DataFrame) -> DataFrame:
     """(phrase, k, at, token): the tokens of each distinct phrase; phrases without tokens are left out."""
     split = phrases.select("phrase").distinct().select("phrase", tokens(F.col("phrase")).alias("t")).where("size(t) > 0")
@@ -64,6 +73,28 @@ def phrase_hits(postings: DataFrame, phrases: DataFrame) -> DataFrame:
     return single.unionByName(pairs).unionByName(whole)
 
 
+def window_hits(registry: DataFrame, phrases: DataFrame, id_column: str = "row_id", text: str = "text") -> DataFrame:
+    """(phrase, row_id, pos): as phrase_hits, for very many phrases of few lengths and without an index.
+
+    Each record's runs of those lengths are compared with the phrases where
+    they are made, so that no token is exchanged while phrases can be
+    broadcast. Phrases are token sequences joined by blanks.
+    """
+    wanted = phrases.select("phrase").distinct().where("phrase <> ''")
+    lengths = sorted(r["k"] for r in wanted.select(F.size(F.split("phrase", " ")).alias("k")).distinct().collect())
+    few = wanted.limit(BROADCAST_PHRASES + 1).count() <= BROADCAST_PHRASES
+    # The generator keeps the tokens from being made anew for each run.
+    listed = registry.select(F.col(id_column).alias("row_id"), F.explode(F.array(tokens(F.col(text)))).alias("t"))
+
+    def runs(k: int) -> Column:
+        made = F.transform(F.sequence(F.lit(1), F.size("t") - k + 1), lambda i: F.struct((i - 1).alias("pos"), F.array_join(F.slice("t", i, k), " ").alias("phrase")))
+        return F.when(F.size("t") >= k, made).otherwise(F.array().cast("array<struct<pos:int,phrase:string>>"))
+
+    every = F.concat(*map(runs, lengths)) if lengths else F.array().cast("array<struct<pos:int,phrase:string>>")
+    found = listed.select("row_id", F.inline(every))
+    return found.join(F.broadcast(wanted) if few else wanted, "phrase").select("phrase", "row_id", "pos")
+
+
 def phrase_counts(hits: DataFrame) -> DataFrame:
     """(phrase, n_records, ambiguous): records of all kinds that have the phrase."""
     return hits.groupBy("phrase").agg(F.count_distinct("row_id").alias("n_records")).withColumn("ambiguous", F.col("n_records") > MAX_CANDIDATES)

@@ -120,7 +120,7 @@ def _first_tokens(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
 
 
 def q_phrase_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where the first eight words of benchmark items stand in documents."""
+    """Where the first eight words of benchmark items stand in documents; q_phrase_windows searches all windows."""
     postings = textindex.index(table(spark, sf_dir, "documents"), "doc_id")
     return textindex.phrase_hits(postings, _first_tokens(spark, sf_dir, 8))
 
@@ -136,11 +136,34 @@ hits AS (SELECT phrase, doc_id AS row_id, i - 1 AS pos FROM (SELECT doc_id, i, a
 
 
 def q_phrase_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records of the first two words of benchmark items, and whether they are too many."""
+    """Records of the first two words of benchmark items, and whether they are too many; q_phrase_windows_cap counts all windows."""
     postings = textindex.index(table(spark, sf_dir, "documents"), "doc_id")
     return textindex.phrase_counts(textindex.phrase_hits(postings, _first_tokens(spark, sf_dir, 2)))
 
 
+def _windows(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+    items = table(spark, sf_dir, "benchmark")
+    return items.select(F.explode(textindex.token_windows(F.col("text"), n)).alias("phrase")).distinct()
+
+
+def q_phrase_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where any eight-word window of benchmark items stands in documents."""
+    return textindex.window_hits(table(spark, sf_dir, "documents"), _windows(spark, sf_dir, 8), "doc_id")
+
+
+def q_phrase_windows_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of all two-word windows of benchmark items, and whether they are too many."""
+    return textindex.phrase_counts(textindex.window_hits(table(spark, sf_dir, "documents"), _windows(spark, sf_dir, 2), "doc_id"))
+
+
+def _all_windows_sql(n: int) -> str:
+    return f"""
+t AS (SELECT doc_id, {TOKENS_SQL} AS t FROM documents),
+b AS (SELECT {TOKENS_SQL} AS t FROM benchmark),
+p AS (SELECT DISTINCT least(len(t), {n}) AS k, array_to_string(t[i:i + {n - 1}], ' ') AS phrase FROM (SELECT t, unnest(range(1, greatest(len(t) - {n - 1}, 1) + 1)) AS i FROM b WHERE len(t) > 0)),
+hits AS (SELECT phrase, doc_id AS row_id, i - 1 AS pos FROM (SELECT doc_id, k, i, array_to_string(t[i:i + k - 1], ' ') AS phrase FROM (SELECT doc_id, t, k, unnest(range(1, len(t) - k + 2)) AS i FROM t, (SELECT DISTINCT k FROM p))) JOIN p USING (k, phrase))"""
+
+
 def q_first_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First place of an identifier in a text, however it is punctuated."""
     found = derived(spark, sf_dir, A.PLACED, "orders").withColumn("o", textindex.first_occurrence(F.col("text"), F.col("identifier")))
@@ -513,6 +536,8 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "q_collapse": (q_collapse, COLLAPSE_SQL),
     "q_phrase_search": (q_phrase_search, f"WITH {_phrases_sql(8)} SELECT phrase, row_id, pos FROM hits"),
     "q_phrase_cap": (q_phrase_cap, f"WITH {_phrases_sql(2)} SELECT phrase, count(DISTINCT row_id) AS n_records, count(DISTINCT row_id) > 8 AS ambiguous FROM hits GROUP BY phrase"),
+    "q_phrase_windows": (q_phrase_windows, f"WITH {_all_windows_sql(8)} SELECT phrase, row_id, pos FROM hits"),
+    "q_phrase_windows_cap": (q_phrase_windows_cap, f"WITH {_all_windows_sql(2)} SELECT phrase, count(DISTINCT row_id) AS n_records, count(DISTINCT row_id) > 8 AS ambiguous FROM hits GROUP BY phrase"),
     "q_first_position": (q_first_position, f"SELECT doc_id, expected AS position, expected < 2000 AS header FROM ({A.PLACED})"),
     "q_windows": (q_windows, WINDOWS_SQL),
     "q_vote": (q_vote, VOTE_SQL),

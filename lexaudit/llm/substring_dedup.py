@@ -10,7 +10,8 @@ the first of its hash, in the order of doc_id and place in the text.
 
 Defined results: white space is collapsed before hashing and otherwise bytes
 must agree; a null or empty text has no sentences and stays as it is; a text
-too short for a span keeps all its sentences; rows that share a doc_id have
+too short for a span keeps all its sentences (with min_sentences = 1 a lone
+sentence of min_words words is a span too); rows that share a doc_id have
 all that is removed from that doc_id removed from each; a row without doc_id
 keeps its text and is no first occurrence; an empty table gives no rows;
 other columns are ignored.

@@ -1,0 +1,15 @@
+from test_rows import brute_dedup
+
+from lexaudit.llm import queries
+
+LONG = " ".join(f"word{i}" for i in range(60)) + "."
+
+
+def test_one_long_sentence_is_removed(spark, tmp_path):
+    docs = [(1, f"Start of one. {LONG} End of one."), (2, f"Begin two. {LONG} Last of two."), (3, f"{LONG} Short one. {LONG}"), (4, None), (5, "Too short.")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    run = queries.queries()
+    got = {r["doc_id"]: (r["n_sentences"], r["n_removed"], r["text"]) for r in run["op7_substring_dedup_single"](spark, str(tmp_path)).collect()}
+    assert got == brute_dedup(docs, min_sentences=1)
+    assert got[2] == (3, 1, "Begin two. Last of two.") and got[3][2] == "Short one. "
+    assert {r["doc_id"]: r["n_removed"] for r in run["op7_substring_dedup"](spark, str(tmp_path)).collect()}[2] == 0

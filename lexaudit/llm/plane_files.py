@@ -33,7 +33,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import materialize, new_path, partitions
+from .store import materialize, new_path, partitions, returned
 from .word_table import Blanks, encoded_chunks
 
 MAGIC = b"LXPLANE1"
@@ -189,6 +189,7 @@ def write(docs: DataFrame, tokenizer: str, path: str | None = None, end_id: int
 def read(manifest: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document in the manifest's files."""
 
+    @returned
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, base in zip(batch.column("path").to_pylist(), batch.column("base").to_pylist(), strict=True):

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import chunks, pack_bytes, pack_keys, pack_planes, unpack_bytes, unpack_keys, unpack_planes
-from .store import materialize, partitions, small_batches
+from .store import bounded_batches, materialize, partitions, returned
 from .tokens import mix, passes, texts_of, word_hashes
 
 #: Bytes of text in a chunk, unless one text is longer.
@@ -91,8 +91,9 @@ def _bucket_of(kind: int, keys: np.ndarray, buckets: int) -> np.ndarray:
 
 def gather(docs: DataFrame, buckets: int, size: int = CHUNK_BYTES) -> DataFrame:
     """(chunk, kind, bucket, keys, counts, pairs, texts): what each chunk asks and counts, and its texts, in the shared folder."""
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
 
+    @returned
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         for no, table in enumerate(chunks(batches, size)):
@@ -126,6 +127,7 @@ def gather(docs: DataFrame, buckets: int, size: int = CHUNK_BYTES) -> DataFrame:
 def low_orders(blocks: DataFrame) -> tuple[np.ndarray, int, int]:
     """Counts of (context byte, symbol) as a 256 x 256 table, training tokens, and training texts."""
 
+    @returned
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column("pairs").to_pylist():

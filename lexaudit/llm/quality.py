@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import materialize, small_batches
+from .store import bounded_batches, materialize, returned
 from .tokens import mix, passes, texts_of, word_hashes
 
 #: Labelled rows that the model is fitted on, at most.
@@ -85,9 +85,10 @@ def rows_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
 
 def word_vectors(texts: DataFrame) -> np.ndarray:
     """Unit context vectors (ROWS x DIMS, 4 MB) over the texts; partitions send sums, merged by block of rows."""
-    small_batches(texts.sparkSession)
+    bounded_batches(texts.sparkSession)
     step = ROWS // BLOCKS
 
+    @returned
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, total = index_vectors(), np.zeros((ROWS, DIMS), np.float64)
         for batch in batches:
@@ -205,6 +206,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> tuple[np.nd
     sample = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "quality")
     vectors = word_vectors(sample)
 
+    @returned
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = pooled(texts_of(batch.column("text")), vectors)
@@ -217,9 +219,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> tuple[np.nd
 
 def score(docs: DataFrame, model: tuple[np.ndarray, Network], threshold: float = 0.3) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row."""
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     vectors, net = model
 
+    @returned
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p = net.probability(pooled(texts_of(batch.column("text")), vectors))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
@@ -49,11 +53,32 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Lower the rows of an Arrow batch, so that batches of long texts fit into a Python worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > rows:
-        spark.conf.set(key, str(rows))
+def bounded_batches(spark: SparkSession, size: int = 4_000_000) -> None:
+    """Lower the bytes of an Arrow batch, so that batches of long texts fit into a Python worker; results do not change."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(str(spark.conf.get(key, "67108864")).rstrip("b")) > size:
+        spark.conf.set(key, str(size))
+
+
+def release() -> None:
+    """Give memory that is free back to the system: Python workers live on and are used again."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def returned(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, which releases memory at its end."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
 
 
 def partitions(spark: SparkSession) -> int:

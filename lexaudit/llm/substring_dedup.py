@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import small_batches
+from .store import bounded_batches, returned
 
 _CUT = re.compile(r"(?<=[.!?])\s+|\n\s*")
 
@@ -65,8 +65,9 @@ def spans(text: str, min_sentences: int, min_words: int) -> Iterator[tuple[int,
 
 def span_rows(docs: DataFrame, min_sentences: int = 2, min_words: int = 20) -> DataFrame:
     """(doc_id, place, size, h1, h2, again) of every span; again: the text had it before."""
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
 
+    @returned
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = ([], [], [], [], [], [])
@@ -94,6 +95,7 @@ def deduplicate(docs: DataFrame, min_sentences: int = 2, min_words: int = 20) ->
     gone = repeated(span_rows(docs, min_sentences, min_words))
     listed = gone.groupBy("doc_id").agg(F.collect_set(F.struct("place", "size")).alias("gone"))
 
+    @returned
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = ([], [], [], [])

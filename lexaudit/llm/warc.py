@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import small_batches
+from .store import bounded_batches, returned
 
 DATE = "2024-01-01T00:00:00Z"
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL name space of RFC 4122
@@ -65,10 +65,11 @@ def responses(pages: DataFrame, content_type: str = "text/html; charset=utf-8",
 
 def derive(found: DataFrame) -> DataFrame:
     """Two rows a response: its metadata record and its conversion record."""
-    small_batches(found.sparkSession, 500)
+    bounded_batches(found.sparkSession)
     names = ["page_id", "record_type", "record_id", "refers_to", "target_uri", "date", "content_type", "content_length", "payload_digest", "block_digest", "block"]
     kinds = [pa.int64(), *[pa.string()] * 6, pa.int64(), *[pa.string()] * 3]
 
+    @returned
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .blocks import chunks, pack_bytes, pack_planes, unpack_bytes, unpack_planes
-from .store import partitions, small_batches
+from .store import bounded_batches, partitions, returned
 from .tokens import _ramp, texts_of
 from .words import SpacedEncoder, WordEncoder
 
@@ -82,8 +82,9 @@ def split_words(docs: DataFrame, path: str, buckets: int, size: int = CHUNK_BYTE
     Words are numbered as they appear, so that frequent ones have small numbers.
     Chunks of one partition are numbered in its order, and partitions in theirs.
     """
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
 
+    @returned
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, part = splitter(path), TaskContext.get().partitionId()
         for no, table in enumerate(chunks(batches, size)):
@@ -160,8 +161,9 @@ def byte_pieces(path: str) -> list[bytes]:
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """The rows (doc_id, ids) with their text, by a join of ids with pieces (at most the vocabulary's size)."""
-    small_batches(encoded.sparkSession)
+    bounded_batches(encoded.sparkSession)
 
+    @returned
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = byte_pieces(path)
         flat, sizes = np.frombuffer(b"".join(pieces), np.uint8), np.array([len(x) for x in pieces], np.int64)

@@ -4,26 +4,36 @@ A table key is made of two halves. Two collections of m short signatures are
 computed, of k minhashes each; the m * m tables take one signature of the
 left collection and one of the right, so that 2 * m * k minhashes serve
 m * m tables of 2 * k rows each. A pair of similarity s shares a key with
-probability (1 - (1 - s**k)**m)**2: 0.9996 at s = 0.85 with m = 9, k = 3.
-
-Texts with equal shingle sets form one class. Class representatives that
-share a key are linked with the least one of it, links are verified on the
-full sets, and components are formed. What a key then still holds in several
-components is linked anew with other members, in rounds. Members that no
-partner can reach, by the shingles that other components share, are left out,
-and pairs that remain across components of a key are verified outright; a
-group that is one component costs no pair of its own.
+probability (1 - (1 - s**k)**m)**2: 0.9996 at s = 0.85 with m = 9, k = 3. Keys
+are formed only of halves that two sets share, as no other key has a partner.
+
+Texts with equal shingle sets form one class, which the 64-bit sum of its
+shingle hashes names. Of each key, the class that shares most keys is the
+head; every other class is compared with it on full sets, and so, among the
+classes that are not linked with it yet, with a second head. Pairs of a key
+that these stars leave in different components are found by an exact filter
+on differences from the head C: with X = A xor C and Y = B xor C, A xor B is
+X xor Y, so a link of A and B asks for an overlap of X and Y of at least
+(|X| + |Y| - e * (|A| + |B|)) / 2 where e = (1 - t) / (1 + t). As A and B are
+not both linked with C, that is above 0. Differences are ordered by how many
+classes have them, only prefixes that must meet are joined, and what
+meets is compared on full sets. Copies of one text with changes of their own
+differ from it in places of their own, so that pairs follow shared changes and
+not the size of a group.
 
 Defined results: words are longest runs outside of space and 0x09-0x0D with
 A-Z lower-cased; a text with fewer words than a shingle, but not none, has its
 whole sequence as one shingle; an empty or null text has none and is linked
-with nothing; repeated rows are equal sets; an empty table gives no rows; a
-null doc_id is linked with nothing; other columns are ignored.
+with nothing; repeated rows are equal sets; rows that share a doc_id but not
+their text are documents of their own, each in the component of its text; a
+very long text is one set, held whole by one task; an empty table gives no
+rows; a null doc_id is linked with nothing; other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,21 +41,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .store import discard, materialize, small_batches
+from .store import bounded_batches, discard, materialize, partitions, returned
 from .tokens import mix, passes, shingle_hashes, texts_of, word_hashes
 
 #: Ids that may be broadcast (16 bytes each, 8 MB in all); above it both sides are exchanged.
 BROADCAST_IDS = 500_000
+#: Classes that are compared with one copy of their head's set.
+STAR = 256
+#: Elements of differences that one batch returns, at least one class's.
+FLAT = 200_000
 
 _RANDOM = np.random.Generator(np.random.PCG64(4242)).integers(0, 2**63, (2, 4096), np.uint64)
 
 
 def signatures(docs: DataFrame, size: int = 5, m: int = 9, k: int = 3) -> DataFrame:
     """(doc_id, n_shingles, set_a, set_b, halves): set size, 128 bits that name the set, 2 * m half keys."""
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     factor = _RANDOM[0, : 2 * m * k] * np.uint64(2) + np.uint64(1)
     shift = _RANDOM[1, : 2 * m * k] * np.uint64(3)
 
+    @returned
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = texts_of(batch.column("text"))
@@ -77,128 +92,182 @@ def _signed(texts: list[bytes], size: int, m: int, k: int, factor: np.ndarray, s
 
 
 def table_keys(classes: DataFrame, m: int = 9) -> DataFrame:
-    """(key, slot, doc_id): the m * m keys of each row, each of one left and one right half; slot is its table."""
-    pairs = F.transform(F.sequence(F.lit(0), F.lit(m * m - 1)), lambda i: F.xxhash64(i, F.get("halves", (i / m).cast("int")), F.get("halves", m + i % m)))
-    return classes.select("doc_id", F.posexplode(pairs).alias("slot", "key"))
-
-
-def _first_shared(a: Column, b: Column, slot: Column, m: int) -> Column:
-    """Whether slot is the first table in which two documents with these halves share a key."""
-    left = F.array_position(F.zip_with(F.slice(a, 1, m), F.slice(b, 1, m), lambda x, y: x == y), True)
-    right = F.array_position(F.zip_with(F.slice(a, m + 1, m), F.slice(b, m + 1, m), lambda x, y: x == y), True)
-    return ((left - 1) * m + right - 1) == slot
+    """(key, node): the keys of each class (node, halves), each of a left and a right half that another class has too."""
+    flat = classes.select("node", F.posexplode("halves").alias("i", "half"))
+    shared = flat.groupBy("half").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("half")
+    held = flat.join(shared, "half").groupBy("node")
+    sides = held.agg(*(F.collect_list(F.when((F.col("i") < m) == left, F.col("half"))).alias(name) for name, left in (("lefts", True), ("rights", False))))
+    pairs = F.flatten(F.transform("lefts", lambda x: F.transform("rights", lambda y: F.xxhash64(x, y))))
+    return sides.select("node", F.explode(pairs).alias("key")).select("key", "node")
 
 
 def shingle_sets(docs: DataFrame, size: int = 5) -> DataFrame:
-    """(doc_id, shingles): sorted 64-bit hashes of each text's distinct shingles, as bytes."""
-    small_batches(docs.sparkSession)
+    """(node, shingles): sorted 64-bit hashes of each text's distinct shingles, as bytes, and their sum."""
+    bounded_batches(docs.sparkSession)
 
+    @returned
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, sets = texts_of(batch.column("text")), []
+            texts = texts_of(batch.column("text"))
             for a, b in passes(texts):
                 hashes, at = shingle_hashes(*word_hashes(texts[a:b]), size)
-                sets += [np.unique(hashes[at[i] : at[i + 1]]).tobytes() for i in range(b - a)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
+                own = [np.unique(hashes[at[i] : at[i + 1]]) for i in range(b - a)]
+                names = np.array([x.sum(dtype=np.uint64) for x in own], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([x.tobytes() for x in own], pa.binary())], ["node", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles binary")
+    return docs.select("text").mapInArrow(run, "node long, shingles binary")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int = 85) -> DataFrame:
-    """The pairs (a, b) whose sets have 100 * intersection >= percent * union."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right"))
+def _compared(pairs: DataFrame, sets: DataFrame, each: Callable[[Iterator[tuple]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """What each makes of (head, node, part, head's set, node's set) of the pairs (head, node, part), task by task.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A head's set is sent once for STAR of its classes and held while they pass by.
+    """
+    bounded_batches(pairs.sparkSession)
+    dealt = pairs.join(pairs.groupBy("head").agg(F.ceil(F.count(F.lit(1)) / STAR).alias("parts")), "head")
+    dealt = dealt.select("head", "node", "part", F.pmod(F.xxhash64("node"), F.col("parts")).alias("salt"))
+    body = dealt.join(sets, "node").select("head", "salt", F.lit(1).alias("kind"), "node", "part", "shingles")
+    tops = dealt.select("head", "salt").distinct().join(sets.withColumnRenamed("node", "head"), "head")
+    tops = tops.select("head", "salt", F.lit(0).alias("kind"), F.col("head").alias("node"), F.lit(None).cast("long").alias("part"), "shingles")
+    ordered = body.union(tops).repartition(partitions(pairs.sparkSession), "head", "salt").sortWithinPartitions("head", "salt", "kind")
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        top = np.zeros(0, np.uint64)
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("left"), batch.column("right"), strict=True):
-                one, two = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(one, two, assume_unique=True)) if min(len(one), len(two)) * 100 >= percent * max(len(one), len(two)) else 0
-                keep.append(100 * both >= percent * (len(one) + len(two) - both) and both > 0)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            for head, kind, node, part, data in zip(*(batch.column(c) for c in ("head", "kind", "node", "part", "shingles")), strict=True):
+                own = np.frombuffer(data.as_buffer(), np.uint64)
+                if kind.as_py():
+                    yield head.as_py(), node.as_py(), part.as_py(), top, own
+                else:
+                    top = own.copy()
+
+    @returned
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from each(rows(batches))
+
+    return ordered.mapInArrow(run, schema)
 
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
 
+def verified(pairs: DataFrame, sets: DataFrame, percent: int = 85) -> DataFrame:
+    """(a, b): the pairs (head, node) whose sets have 100 * intersection >= percent * union."""
+
+    def linked(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+        a, b = [], []
+        for head, node, _, one, two in rows:
+            both = len(np.intersect1d(one, two, assume_unique=True)) if min(len(one), len(two)) * 100 >= percent * max(len(one), len(two)) else 0
+            if both and 100 * both >= percent * (len(one) + len(two) - both):
+                a.append(head)
+                b.append(node)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-def _possible(shared: Column, sizes: Column, percent: int) -> Column:
-    """Whether sets of these sizes in sum that share so many shingles can reach the similarity."""
-    return (100 + percent) * shared >= percent * sizes
+    return _compared(pairs.select("head", "node", F.lit(None).cast("long").alias("part")), sets, linked, "a long, b long")
 
 
-def undecided(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int = 85) -> DataFrame:
-    """(key, slot, doc_id, part, n, useful): members (key, slot, doc_id) that may still have a link into another component of their key.
+def differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(head, node, part, n, d, shingle): of each pair the d shingles that one of the two sets has; n is the node's set size."""
 
-    useful counts those of a document's n shingles that some document of
-    another component has, of all that still share a key across components. A
-    document whose useful shingles are too few for any partner of its key's
-    sizes can be left out: no link is lost, and copies with many changes of
-    their own, which a large family has, need no pairs.
+    def flat(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def batch() -> pa.RecordBatch:
+            lengths = [len(x[-1]) for x in held]
+            columns = [np.repeat(np.array([x[i] for x in held], np.int64), lengths) for i in range(5)]
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (*columns, np.concatenate([x[-1] for x in held]).view(np.int64))], ["head", "node", "part", "n", "d", "shingle"])
+
+        for head, node, part, one, two in rows:
+            apart = np.setxor1d(one, two, assume_unique=True)
+            held.append((head, node, part, len(two), len(apart), apart))
+            size += len(apart)
+            if size >= FLAT:
+                yield batch()
+                held, size = [], 0
+        if held:
+            yield batch()
+
+    return _compared(pairs.select("head", "node", "part"), sets, flat, "head long, node long, part long, n long, d long, shingle long")
+
+
+def close_pairs(apart: DataFrame, percent: int = 85) -> DataFrame:
+    """(head, node) of classes of different parts that differences (as made above) let be linked: all that are, and few others.
+
+    Shingles that no other part differs in come first, then those that few
+    classes differ in; of a class with n shingles only places up to
+    n * (1 - t) / t can be the first that it shares with a linked class.
     """
-    placed = members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "slot", "doc_id", F.coalesce("label", "doc_id").alias("part"))
-    placed = materialize(_across(placed), "placed")
-    own = sets.join(placed.select("doc_id", "part").distinct(), "doc_id")
-    flat = materialize(own.select("doc_id", "part", "shingles").mapInArrow(_flat, "doc_id long, part long, shingle long, n long"), "flat")
-    across = flat.groupBy("shingle").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("shingle")
-    useful = flat.join(across, "shingle").groupBy("doc_id").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("useful"))
-    counted = materialize(placed.join(useful, "doc_id"), "counted")
-    discard(flat)
-    least = counted.groupBy("key").agg(F.min("n").alias("least"))
-    partner = F.greatest(F.col("least"), F.ceil(F.col("n") * (percent / 100)))
-    able = counted.join(least, "key").where(_possible(F.col("useful"), F.col("n") + partner, percent))
-    return _across(able.select("key", "slot", "doc_id", "part", "n", "useful"))
-
-
-def _across(placed: DataFrame) -> DataFrame:
-    """Members of those keys that several components share."""
+    shared = apart.groupBy("head", "shingle").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("holders"))
+    useful = apart.join(shared.where("low < high").select("head", "shingle", "holders"), ["head", "shingle"])
+    by = "row_number() over (partition by head, node order by holders, shingle) - count(*) over (partition by head, node)"
+    placed = useful.select("*", (F.col("d") - 1 + F.expr(by)).alias("place"))
+    first = materialize(placed.where(F.col("place") * percent <= F.col("n") * (100 - percent)).select("head", "shingle", "node", "part", "n", "d", "place"), "prefixes")
+    other = first.select("head", "shingle", *(F.col(c).alias(f"b_{c}") for c in ("node", "part", "n", "d", "place")))
+    overlap = F.least(F.col("d") - F.col("place"), F.col("b_d") - F.col("b_place"))
+    asked = (100 + percent) * (F.col("d") + F.col("b_d")) - (100 - percent) * (F.col("n") + F.col("b_n"))
+    sizes = 100 * F.least("n", "b_n") >= percent * F.greatest("n", "b_n")
+    fits = (F.col("node") < F.col("b_node")) & (F.col("part") != F.col("b_part")) & sizes & (2 * (100 + percent) * overlap >= asked)
+    return first.join(other, ["head", "shingle"]).where(fits).select(F.col("node").alias("head"), F.col("b_node").alias("node")).distinct()
+
+
+def _placed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members with part, their component; only of keys that several components share."""
+    placed = members.drop("part").join(labels.withColumnRenamed("label", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
+    placed = materialize(placed, "placed")
     mixed = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
     return placed.join(mixed, "key")
 
 
-def _flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        own = [np.frombuffer(x, np.int64) for x in batch.column("shingles").to_pylist()]
-        n = np.array([len(x) for x in own], np.int64)
-        rows = [np.repeat(batch.column(c).to_numpy(), n) for c in ("doc_id", "part")]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*rows, np.concatenate(own), np.repeat(n, n))], ["doc_id", "part", "shingle", "n"])
+def components(members: DataFrame, sets: DataFrame, percent: int = 85) -> DataFrame:
+    """(node, label) of all classes with a link, from the members (key, node) of keys that several classes share."""
+    weights = members.join(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key").groupBy("node").agg(F.sum("n").alias("weight"))
+    weighted = materialize(members.join(weights, "node").select("key", "node", "weight"), "weighted")
+    top = F.max(F.struct("weight", "node")).alias("top")
+    pivots = materialize(weighted.groupBy("key").agg(top).select("key", F.col("top.node").alias("pivot")), "pivots")
+    rest = weighted.join(pivots, "key").where("node <> pivot")
+    links = materialize(verified(rest.select(F.col("pivot").alias("head"), "node").distinct(), sets, percent), "links")
+    labels = connected_components(links)
 
+    def more(pairs: DataFrame) -> None:
+        nonlocal links, labels
+        new = materialize(verified(pairs, sets, percent), "links")
+        if new.limit(1).count():
+            links = links.union(new)
+            labels = connected_components(links)
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85, m: int = 9, k: int = 3, rounds: int = 2) -> DataFrame:
+    open_ = materialize(_placed(rest, labels), "open")
+    if open_.limit(1).count():
+        of_pivot = labels.select(F.col("node").alias("pivot"), F.col("label").alias("pivot_part"))
+        apart = open_.join(of_pivot, "pivot", "left").where(F.col("part") != F.coalesce("pivot_part", "pivot"))
+        second = apart.groupBy("key").agg(F.max(F.struct("weight", "node", "part")).alias("top")).select("key", F.col("top.node").alias("head"), F.col("top.part").alias("head_part"))
+        more(open_.join(second, "key").where("part <> head_part").select("head", "node").distinct())
+        open_ = materialize(_placed(open_.join(second, "key", "left").where("head is null or node <> head").drop("head", "head_part"), labels), "open")
+        if open_.limit(1).count():
+            flat = materialize(differences(open_.select(F.col("pivot").alias("head"), "node", "part").distinct(), sets), "differences")
+            more(materialize(close_pairs(flat, percent), "pairs"))
+            discard(flat)
+    return labels
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85, m: int = 9, k: int = 3) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row; kept where doc_id is the component's least."""
     signed = materialize(signatures(docs, size, m, k), "signatures")
-    named = ["n_shingles", "set_a", "set_b"]
-    classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy(*named).agg(F.min("doc_id").alias("class_id"))
-    classes = materialize(classes, "classes")
-    first = classes.select(F.col("class_id").alias("doc_id")).join(signed.select("doc_id", *named, "halves"), "doc_id").dropDuplicates(["doc_id"])
-    keys = table_keys(first, m)
-    heads = keys.groupBy("key").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "head")
-    members = materialize(keys.join(heads, "key"), "members")
-    halves = materialize(first.select("doc_id", "halves").join(members.select("doc_id").distinct(), "doc_id"), "halves")
-
-    ids = materialize(members.select("doc_id").distinct(), "ids")
+    least = F.min(F.struct("doc_id", "halves")).alias("least")
+    classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "set_a", "set_b").agg(least)
+    classes = materialize(classes.select(F.col("set_a").alias("node"), F.col("least.doc_id").alias("class_id"), "least.halves"), "classes")
+    keys = materialize(table_keys(classes, m), "keys")
+    shared = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key")
+    members = materialize(keys.join(shared, "key"), "members")
+    discard(keys)
+
+    ids = materialize(members.select("node").distinct().join(classes.select("node", "class_id"), "node").select(F.col("class_id").alias("doc_id")).distinct(), "ids")
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    sets = materialize(shingle_sets(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi"), size).dropDuplicates(["doc_id"]), "sets")
-
-    pairs = members.where("head < doc_id").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = materialize(verified(pairs, sets, percent), "links")
-    labels, open_ = connected_components(links), members
-    for turn in range(rounds + 1):
-        open_ = materialize(undecided(open_.select("key", "slot", "doc_id"), labels, sets, percent), "open")
-        if turn < rounds:
-            star = F.min(F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("h"), F.col("doc_id").alias("head"), F.col("part").alias("head_part"))).alias("star")
-            stars = open_.groupBy("key").agg(star).select("key", "star.head", "star.head_part")
-            more = open_.join(stars, "key").where("part <> head_part").select(F.least("head", "doc_id").alias("a"), F.greatest("head", "doc_id").alias("b")).distinct()
-        else:
-            one = open_.join(halves, "doc_id")
-            other = one.select("key", *(F.col(c).alias(f"b_{c}") for c in ("doc_id", "part", "n", "useful", "halves")))
-            fits = (F.col("doc_id") < F.col("b_doc_id")) & (F.col("part") != F.col("b_part")) & _possible(F.least("useful", "b_useful"), F.col("n") + F.col("b_n"), percent) & _first_shared(F.col("halves"), F.col("b_halves"), F.col("slot"), m)
-            more = one.join(other, "key").where(fits).select(F.col("doc_id").alias("a"), F.col("b_doc_id").alias("b")).distinct()
-        new = materialize(verified(more, sets, percent), "links")
-        if new.limit(1).count():
-            links = materialize(links.union(new), "links")
-            labels = connected_components(links)
-    parts = classes.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left").select(*named, F.coalesce("label", "class_id").alias("component_id"))
-    out = signed.select("doc_id", *named).join(parts, named, "left")
+    sets = materialize(shingle_sets(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi"), size).dropDuplicates(["node"]), "sets")
+    labels = components(members, sets, percent)
+    discard(sets)
+    discard(members)
+
+    grouped = classes.select("node", "class_id").join(labels, "node")
+    named = grouped.select("node", "label").join(grouped.groupBy("label").agg(F.min("class_id").alias("component_id")), "label")
+    of_class = classes.select("node", "class_id").join(named.select("node", "component_id"), "node", "left").select(F.col("node").alias("set_a"), F.coalesce("component_id", "class_id").alias("component_id"))
     lone = F.col("n_shingles").eqNullSafe(0) | F.col("doc_id").isNull()
+    out = signed.select("doc_id", "n_shingles", "set_a").join(of_class, "set_a", "left")
     out = out.select("doc_id", "n_shingles", F.when(lone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

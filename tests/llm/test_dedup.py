@@ -125,3 +125,51 @@ def test_near_dedup_query_against_brute_force(spark):
     want = brute_components([tuple(r) for r in docs])
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in queries.op6_minhash_near_dedup(spark, sf).collect()}
     assert got == want
+
+
+def family(n, size, changes, rng, name):
+    """Copies of one text with changes of their own words, some at places that several copies change; the text itself is left out."""
+    base = [f"{name}{x}" for x in range(size)]
+    rows = []
+    for i in range(n):
+        own = list(base)
+        for place in rng.choice(size, rng.integers(*changes), replace=False):
+            own[place] = f"{name}c{i}x{place}" if rng.random() < 0.5 else f"{name}same{place}"
+        rows.append(" ".join(own))
+    return rows
+
+
+def test_near_dedup_families_without_a_common_head(spark):
+    rng = np.random.default_rng(11)
+    texts = family(90, 150, (0, 6), rng, "a") + family(90, 150, (3, 7), rng, "b") + family(40, 300, (8, 14), rng, "c")
+    near = [f"a{x}" if x % 40 else f"d{x}" for x in range(150)]
+    texts += [" ".join([*near[:i], f"q{i}", *near[i + 1 :]]) for i in range(0, 150, 5)]
+    rows = list(enumerate(texts))
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), m=14, k=2)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == brute_components(rows)
+
+
+def test_close_pairs_lose_no_link(spark):
+    """The filter on differences, alone, against all pairs of sets."""
+    rng = np.random.default_rng(3)
+    head = rng.choice(1_000_000, 120, replace=False)
+    sets = {1: set(head.tolist())}
+    for i in range(2, 120):
+        own = set(rng.choice(head, rng.integers(80, 120), replace=False).tolist()) if i % 3 else set(sets[int(rng.integers(1, i))])
+        own |= {int(2_000_000 + (i * 100 + x if rng.random() < 0.6 else x)) for x in range(rng.integers(0, 25))}
+        sets[i] = own
+    linked = lambda a, b: 100 * len(a & b) >= 85 * len(a | b)
+    part = {i: 1 if linked(sets[1], s) else i for i, s in sets.items()}
+    table = spark.createDataFrame([(i, bytearray(np.array(sorted(s), np.uint64).tobytes())) for i, s in sets.items()], "node long, shingles binary")
+    pairs = spark.createDataFrame([(1, i, part[i]) for i in sets if i > 1], "head long, node long, part long")
+    got = {(r["head"], r["node"]) for r in near_dedup.close_pairs(near_dedup.differences(pairs, table)).collect()}
+    want = {(i, j) for i in sets for j in sets if 1 < i < j and part[i] != part[j] and linked(sets[i], sets[j])}
+    every = {(i, j) for i in sets for j in sets if 1 < i < j and part[i] != part[j]}
+    assert want and want <= got and len(got) < len(every) / 2
+
+
+def test_near_dedup_rows_that_share_an_id(spark):
+    rows = [(1, "a b c d e f"), (1, "g h i j k l"), (2, "a b c d e f"), (3, "g h i j k l"), (0, "m n")]
+    docs = spark.createDataFrame([(*r, 1, 2, 3, 4) for r in rows], "doc_id long, text string, node int, key int, head int, part int")
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(docs).collect())
+    assert got == [(0, 1, 0, True), (1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False)]

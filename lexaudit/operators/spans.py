@@ -5,32 +5,52 @@ Spans are half-open ranges of code points, counted from 0.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _OPEN, _CLOSE = "\u0001", "\u0002"
 SPAN = "array<struct<start:int,end:int,snippet:string>>"
+#: Matches whose offsets are added up together.
+CELL = 64
 
 
 def find_spans(text: Column, pattern: str) -> Column:
     """array<struct<start,end,snippet>> of all matches, in the JVM.
 
     Matches are wrapped in control characters, the text is split at them, and
-    lengths are added up, so that offsets count code points. The characters
-    U+0001 and U+0002 of the text itself count as spaces.
+    lengths are added up, so that offsets count code points. Sums are taken
+    within parts of CELL matches and then over the parts, so that no array of
+    all matches grows one by one. The characters U+0001 and U+0002 of the text
+    itself count as spaces.
     """
     clean = F.translate(text, _OPEN + _CLOSE, "  ")
-    parts = F.split(F.regexp_replace(clean, f"(?:{pattern})", f"{_OPEN}$0{_CLOSE}"), _OPEN, -1)
-    start = F.struct(F.length(F.get(parts, F.lit(0))).alias("at"), F.array().cast(SPAN).alias("found"))
-
-    def step(state: Column, part: Column) -> Column:
-        snippet = F.substring_index(part, _CLOSE, 1)
+    pieces = F.split(F.regexp_replace(clean, f"(?:{pattern})", f"{_OPEN}$0{_CLOSE}"), _OPEN, -1)
+    lead = F.length(F.get(pieces, F.lit(0)))
+    count = F.size(pieces) - 1
+    parts = F.when(count > 0, F.transform(F.sequence(F.lit(0), F.floor((count - 1) / CELL).cast("int")), lambda i: F.slice(pieces, i * CELL + 2, F.least(F.lit(CELL), count - i * CELL))))
+    empty = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("found"))
+
+    def step(state: Column, piece: Column) -> Column:
+        snippet = F.substring_index(piece, _CLOSE, 1)
         end = state["at"] + F.length(snippet)
         one = F.array(F.struct(state["at"].alias("start"), end.alias("end"), snippet.alias("snippet")))
-        return F.struct((state["at"] + F.length(part) - 1).alias("at"), F.concat(state["found"], one).alias("found"))
+        return F.struct((state["at"] + F.length(piece) - 1).alias("at"), F.concat(state["found"], one).alias("found"))
+
+    local = F.transform(parts, lambda part: F.aggregate(part, empty, step))
+    return F.coalesce(_shifted(local, lead), F.array().cast(SPAN))
+
 
-    rest = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
-    return F.coalesce(F.aggregate(rest, start, step, lambda s: s["found"]), F.array().cast(SPAN))
+def _shifted(local: Column, lead: Column) -> Column:
+    """The parts' spans in one array, each part moved behind the ones before."""
+    zero = F.struct(lead.alias("at"), F.array().cast("array<int>").alias("starts"))
+    starts = F.aggregate(local, zero, lambda s, part: F.struct((s["at"] + part["at"]).alias("at"), F.concat(s["starts"], F.array(s["at"])).alias("starts")), lambda s: s["starts"])
+    moved = F.zip_with(local, starts, lambda part, at: F.transform(part["found"], lambda x: F.struct((x["start"] + at).alias("start"), (x["end"] + at).alias("end"), x["snippet"].alias("snippet"))))
+    return F.flatten(moved)
 
 
 def iou(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
@@ -64,22 +84,57 @@ def overlapping_pairs(left: DataFrame, right: DataFrame, key: str = "doc_id", ce
     return joined.withColumn("iou", iou(F.col("a_start"), F.col("a_end"), F.col("b_start"), F.col("b_end")))
 
 
-def deduplicate(spans: Column, least: float = 0.5) -> Column:
+def keep_longest(spans: Iterable[tuple[int, int]], least: float = 0.5) -> list[tuple[int, int]]:
     """Greedy: the longest spans first, the earlier of equal ones; a span in conflict with a kept one goes. Ordered by start.
 
-    One fold over the document's own spans; a document's spans are bounded by its text.
+    Kept spans never hold one another, so that the order of their starts is
+    that of their ends, and only those that meet a span are compared with it.
     """
+    starts: list[int] = []
+    ends: list[int] = []
+    for start, end in sorted(spans, key=lambda s: (s[0] - s[1], s[0])):
+        first, last = bisect_left(ends, start), bisect_right(starts, end)
+        for a, b in zip(starts[first:last], ends[first:last], strict=True):
+            both = min(end, b) - max(start, a)
+            if (start >= a and end <= b) or (both > 0 and both >= least * (end - start + b - a - both)):
+                break
+        else:
+            at = bisect_left(starts, start)
+            starts.insert(at, start)
+            ends.insert(at, end)
+    return list(zip(starts, ends, strict=True))
+
+
+def span_lists(texts: Iterable[str | None], spans: Iterable[list[tuple[int, int]]]) -> pa.Array:
+    """An array of lists of (start, end, snippet), a list for each text."""
+    offsets, starts, ends, snippets = [0], [], [], []
+    for text, own in zip(texts, spans, strict=True):
+        for start, end in own:
+            starts.append(start)
+            ends.append(end)
+            snippets.append(text[start:end])
+        offsets.append(len(starts))
+    inner = pa.StructArray.from_arrays([pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(snippets, pa.string())], ["start", "end", "snippet"])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), inner)
 
-    def order(x: Column, y: Column) -> Column:
-        longer = (y["end"] - y["start"]) - (x["end"] - x["start"])
-        return F.when(longer != 0, longer).otherwise(x["start"] - y["start"])
-
-    def step(kept: Column, s: Column) -> Column:
-        clash = F.exists(kept, lambda k: conflict(s["start"], s["end"], k["start"], k["end"], least))
-        return F.when(clash, kept).otherwise(F.concat(kept, F.array(s)))
 
-    kept = F.aggregate(F.array_sort(spans, order), F.array().cast(SPAN), step)
-    return F.array_sort(kept, lambda x, y: x["start"] - y["start"])
+def deduplicate(spans: Column, least: float = 0.5) -> Column:
+    """keep_longest of each array of spans; vectorised."""
+
+    @F.arrow_udf(SPAN)
+    def kept(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            flat, lengths = batch.flatten(), [x or 0 for x in pc.list_value_length(batch).to_pylist()]
+            starts, ends = (flat.field(i).to_pylist() for i in (0, 1))
+            chosen, offsets, at = [], [0], 0
+            for n in lengths:
+                place = {(s, e): i for i, (s, e) in reversed(list(enumerate(zip(starts[at : at + n], ends[at : at + n], strict=True), at)))}
+                chosen += [place[s] for s in keep_longest(place, least)]
+                offsets.append(len(chosen))
+                at += n
+            yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat.take(pa.array(chosen, pa.int64())))
+
+    return kept(spans)
 
 
 def explode_spans(df: DataFrame, spans: str = "spans") -> DataFrame:

@@ -1,10 +1,11 @@
 import pytest
 
-from lexaudit.operators.extraction import RULES, Patterns, extract
+from lexaudit.operators.citations import spans
+from lexaudit.operators.extraction import RULES, extract
 
 
 def found(text, rules=RULES):
-    return [s["snippet"] for s in Patterns().spans(text, rules)]
+    return [text[a:b] for a, b in spans(text, "quantity" in rules, "label" in rules, "descriptive" in rules)]
 
 
 @pytest.mark.parametrize(

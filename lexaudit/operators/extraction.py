@@ -9,12 +9,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from ..functions.text import preamble_end
 from . import citations
-from .spans import SPAN, explode_spans, keep_longest, span_lists
+from .spans import keep_longest
 
 #: Rules of extraction that can be switched off one by one.
 RULES = frozenset({"quantity", "label", "descriptive", "preamble", "dedup"})
@@ -26,19 +27,22 @@ def spans_of(text: str, rules: frozenset[str] = RULES, body: int = 0) -> list[tu
     return keep_longest(found) if "dedup" in rules else found
 
 
-def candidate_spans(text: Column, rules: frozenset[str] = RULES) -> Column:
-    """Citations of a text column; vectorised."""
-
-    @F.arrow_udf(SPAN)
-    def find(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for texts, bodies in batches:
-            given = texts.to_pylist()
-            yield span_lists(given, [spans_of(t, rules, b) if t else [] for t, b in zip(given, bodies.to_pylist(), strict=True)])
-
-    return find(text, preamble_end(text) if "preamble" in rules else F.lit(0))
-
-
 def extract(docs: DataFrame, rules: frozenset[str] = RULES, key: str = "doc_id") -> DataFrame:
     """(doc_id, idx, start, end, snippet): the citations of each document, by place."""
-    found = docs.select(key, candidate_spans(F.col("text"), rules).alias("spans"))
-    return explode_spans(found.where(F.size("spans") > 0))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, idx, starts, ends, snippets = [], [], [], [], []
+            for row, (text, body) in enumerate(zip(batch.column("text").to_pylist(), batch.column("body").to_pylist(), strict=True)):
+                for i, (start, end) in enumerate(spans_of(text, rules, body) if text else ()):
+                    rows.append(row)
+                    idx.append(i)
+                    starts.append(start)
+                    ends.append(end)
+                    snippets.append(text[start:end])
+            ints = [pa.array(x, pa.int32()) for x in (idx, starts, ends)]
+            yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(rows, pa.int64())), *ints, pa.array(snippets, pa.string())], [key, "idx", "start", "end", "snippet"])
+
+    body = preamble_end(F.col("text")) if "preamble" in rules else F.lit(0)
+    made = [StructField(n, IntegerType()) for n in ("idx", "start", "end")] + [StructField("snippet", StringType())]
+    return docs.select(key, "text", body.alias("body")).mapInArrow(run, StructType([StructField(key, docs.schema[key].dataType), *made]))

@@ -105,36 +105,24 @@ def keep_longest(spans: Iterable[tuple[int, int]], least: float = 0.5) -> list[t
     return list(zip(starts, ends, strict=True))
 
 
-def span_lists(texts: Iterable[str | None], spans: Iterable[list[tuple[int, int]]]) -> pa.Array:
-    """An array of lists of (start, end, snippet), a list for each text."""
-    offsets, starts, ends, snippets = [0], [], [], []
-    for text, own in zip(texts, spans, strict=True):
-        for start, end in own:
-            starts.append(start)
-            ends.append(end)
-            snippets.append(text[start:end])
-        offsets.append(len(starts))
-    inner = pa.StructArray.from_arrays([pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(snippets, pa.string())], ["start", "end", "snippet"])
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), inner)
-
-
-def deduplicate(spans: Column, least: float = 0.5) -> Column:
-    """keep_longest of each array of spans; vectorised."""
-
-    @F.arrow_udf(SPAN)
-    def kept(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+def deduplicate(df: DataFrame, spans: str = "spans", least: float = 0.5) -> DataFrame:
+    """The rows with keep_longest of their array of spans, in one pass over Arrow batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat, lengths = batch.flatten(), [x or 0 for x in pc.list_value_length(batch).to_pylist()]
+            lists = batch.column(spans)
+            flat, lengths = lists.flatten(), [x or 0 for x in pc.list_value_length(lists).to_pylist()]
             starts, ends = (flat.field(i).to_pylist() for i in (0, 1))
             chosen, offsets, at = [], [0], 0
             for n in lengths:
-                place = {(s, e): i for i, (s, e) in reversed(list(enumerate(zip(starts[at : at + n], ends[at : at + n], strict=True), at)))}
+                place = {(starts[i], ends[i]): i for i in range(at + n - 1, at - 1, -1)}
                 chosen += [place[s] for s in keep_longest(place, least)]
                 offsets.append(len(chosen))
                 at += n
-            yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat.take(pa.array(chosen, pa.int64())))
+            kept = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat.take(pa.array(chosen, pa.int64())))
+            yield batch.set_column(batch.schema.get_field_index(spans), spans, kept)
 
-    return kept(spans)
+    return df.mapInArrow(run, df.schema)
 
 
 def explode_spans(df: DataFrame, spans: str = "spans") -> DataFrame:

@@ -77,7 +77,7 @@ FROM p
 
 def q_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of two forms, deduplicated greedily."""
-    kept = _two_forms(spark, sf_dir).select("doc_id", spans.deduplicate(F.concat("a", "b")).alias("spans"))
+    kept = spans.deduplicate(_two_forms(spark, sf_dir).select("doc_id", F.concat("a", "b").alias("spans")))
     return spans.explode_spans(kept).select("doc_id", "idx", "start", "end")
 
 

@@ -93,7 +93,7 @@ def test_native_spans_count_code_points(spark):
 def test_span_deduplication(spark):
     rows = [(0, 10), (2, 9), (8, 20), (9, 20), (30, 40), (33, 45)]
     df = spark.createDataFrame([([(a, b, "") for a, b in rows],)], f"x {spans.SPAN}")
-    assert [(r["start"], r["end"]) for r in df.select(spans.deduplicate(F.col("x")).alias("y")).first()["y"]] == [(0, 10), (8, 20), (30, 40), (33, 45)]
+    assert [(r["start"], r["end"]) for r in spans.deduplicate(df, "x").first()["x"]] == [(0, 10), (8, 20), (30, 40), (33, 45)]
 
 
 def test_overlapping_pairs_across_cells(spark):

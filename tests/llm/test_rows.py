@@ -1,11 +1,10 @@
-import gzip
 import html
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from lexaudit.llm import decontaminate, queries, substring_dedup, url_filter, warc
+from lexaudit.llm import decontaminate, queries, substring_dedup, url_filter
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
@@ -197,44 +196,6 @@ def test_url_query_rules_in_sql(spark):
     assert have["rule"].fillna("").tolist() == want["rule"].fillna("").tolist()
 
 
-PAGES = [
-    (1, "http://a.example/x", '<html lang="en"><head><title>A &amp; B</title><style>p{}</style></head><body><p>One<br>two <b>three</b></p><script>var t="</p>";</script><a href="/l?a=1&amp;b=2">link</a><!-- gone --></body></html>'),
-    (2, None, "<p>no url"),
-    (3, "http://b.example/", None),
-    (4, "http://c.example/", ""),
-    (5, "http://d.example/", "<p>" + "é\U0001f600 " * 200_000),
-    (None, "http://e.example/", "plain < text &lt;b&gt;"),
-    (1, "http://a.example/x", "<p>again</p>"),
-    (1, "http://a.example/x", "<p>again</p>"),
-]
-
-
-def test_warc_records(spark, tmp_path):
-    pages = spark.createDataFrame([(*p, "x", "y") for p in PAGES], "page_id long, url string, html string, record_id string, block string")
-    records = warc.derive(warc.responses(pages))
-    rows = [r.asDict() for r in records.collect()]
-    assert len(rows) == 2 * len(PAGES)
-    for r in rows:
-        (head, block), = warc.parse(warc.serialize(r))
-        assert block.decode() == r["block"] and head["WARC-Refers-To"] == r["refers_to"] and head["WARC-Type"] == r["record_type"]
-        assert head["WARC-Block-Digest"] == warc.digest(block) and head.get("WARC-Target-URI") == r["target_uri"]
-        assert head["WARC-Source-Payload-Digest"] == r["payload_digest"] and int(head["Content-Length"]) == r["content_length"] == len(block)
-    by_page = {(r["page_id"], r["record_type"], r["payload_digest"]): r for r in rows}
-    first = [r for r in rows if r["payload_digest"] == warc.digest(PAGES[0][2].encode())]
-    meta, text = sorted(first, key=lambda r: r["record_type"], reverse=True)
-    assert text["block"] == "A & B\nOne\ntwo three\nlink"
-    assert "title: A & B\r\n" in meta["block"] and "language: en\r\n" in meta["block"] and "outlink: /l?a=1&b=2\r\n" in meta["block"]
-    assert "source-content-type: text/html; charset=utf-8\r\n" in meta["block"] and meta["refers_to"] == text["refers_to"] != meta["record_id"]
-    assert by_page[3, "conversion", warc.digest(b"")]["block"] == ""
-    assert any(r["block"] == "plain < text <b>" for r in rows)
-    assert warc.derive(warc.responses(pages.limit(0))).count() == 0
-    warc.write(records, f"{tmp_path}/out")
-    back = spark.sparkContext.sequenceFile(f"{tmp_path}/out").values().collect()
-    joined = b"".join(bytes(x) for x in back)
-    assert sorted(h["WARC-Record-ID"] for h, _ in warc.parse(joined)) == sorted(r["record_id"] for r in rows)
-    assert gzip.decompress(joined).startswith(b"WARC/1.1\r\n")
-
-
 def test_warc_query_keeps_every_visible_word(spark):
     sf = "/root/testdata/sf0.001"
     source = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}

@@ -10,7 +10,9 @@ Defined results: a null text counts as empty, and all empty texts are equal;
 a row with a null doc_id is kept apart from none (it groups by its text, and
 never stays unless every doc_id of the group is null); repeated rows are rows
 of their group; ties on doc_id need no order, since only the id is returned;
-an empty table gives no rows; other columns are ignored, whatever their names.
+a very long text is digested, and compared with texts of its digest, as any
+other; an empty table gives no rows; other columns are ignored, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -19,13 +21,16 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import fuse_filter
 from .store import materialize
 
+#: Rows, of the snapshot and the batch together, for which there is a bucket.
+BUCKET_DIGESTS = 125_000
 #: Digests that may be broadcast (65 bytes each, 13 MB in all); above it both sides are exchanged.
 BROADCAST_DIGESTS = 200_000
 
@@ -49,8 +54,8 @@ def _bucket(n: int) -> Column:
     return F.pmod(F.xxhash64("digest"), F.lit(n)).cast("int").alias("bucket")
 
 
-def _key(of: pd.Series) -> np.ndarray:
-    return of.to_numpy(np.int64).view(np.uint64)
+def _key(of: pa.ChunkedArray) -> np.ndarray:
+    return of.to_numpy().view(np.uint64)
 
 
 @dataclass(frozen=True)
@@ -66,14 +71,14 @@ def publish(found: DataFrame, buckets: int) -> Snapshot:
     """The snapshot of (doc_id, digest) rows, written to the shared folder.
 
     A bucket holds distinct digests by their hash, so equal texts, however
-    many, weigh as one in it; take about a million digests a bucket.
+    many, weigh as one in it; a bucket is held whole by one task.
     """
     exact = materialize(grouped(found).select(_bucket(buckets), "digest", F.xxhash64("digest", F.lit(1)).alias("key"), "last_id", "n"), "exact")
 
-    def filter_of(part: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"bucket": part["bucket"].iloc[:1], "filter": [fuse_filter.build(_key(part["key"]))]})
+    def filter_of(part: pa.Table) -> pa.Table:
+        return pa.table({"bucket": part["bucket"][:1], "filter": pa.array([fuse_filter.build(_key(part["key"]))], pa.binary())})
 
-    filters = materialize(exact.select("bucket", "key").groupBy("bucket").applyInPandas(filter_of, "bucket int, filter binary"), "filters")
+    filters = materialize(exact.select("bucket", "key").groupBy("bucket").applyInArrow(filter_of, "bucket int, filter binary"), "filters")
     return Snapshot(exact, filters, buckets)
 
 
@@ -82,12 +87,13 @@ def screen(batch: DataFrame, snapshot: Snapshot) -> DataFrame:
     names = [c for c in batch.columns if c != "bucket"]
     keyed = batch.select(*names, _bucket(snapshot.buckets), F.xxhash64("digest", F.lit(1)).alias("key"))
 
-    def passed(rows: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
-        if not len(filters):
-            return rows[:0][names]
-        return rows[fuse_filter.passes(filters["filter"].iloc[0], _key(rows["key"]))][names]
+    def passed(rows: pa.Table, filters: pa.Table) -> pa.Table:
+        if not len(filters) or not len(rows):
+            return keyed_schema.empty_table()
+        return rows.select(names).filter(pa.array(fuse_filter.passes(filters["filter"][0].as_py(), _key(rows["key"]))))
 
-    return keyed.groupBy("bucket").cogroup(snapshot.filters.groupBy("bucket")).applyInPandas(passed, batch.select(*names).schema)
+    keyed_schema = to_arrow_schema(batch.select(*names).schema)
+    return keyed.groupBy("bucket").cogroup(snapshot.filters.groupBy("bucket")).applyInArrow(passed, batch.select(*names).schema)
 
 
 def deduplicate(docs: DataFrame, is_old: Column, buckets: int | None = None, digest: Callable[[Column], Column] = sha256) -> DataFrame:
@@ -101,7 +107,7 @@ def deduplicate(docs: DataFrame, is_old: Column, buckets: int | None = None, dig
     text = F.coalesce("text", F.lit(""))
     rows = materialize(docs.select("doc_id", digest(text).alias("digest"), F.coalesce(is_old, F.lit(False)).alias("old")), "digests")
     if buckets is None:
-        buckets = max(1, rows.where("old").count() // 1_000_000) * 8
+        buckets = max(1, rows.count() // BUCKET_DIGESTS)
     snapshot = publish(rows.where("old").select("doc_id", "digest"), buckets)
     batch = materialize(grouped(rows.where("not old").select("doc_id", "digest")), "batch")
     seen = screen(batch, snapshot)

@@ -12,10 +12,13 @@ The fit sample is bounded: FIT_ROWS labelled rows with the least hashes of
 their doc_id. Every document is scored over its whole text.
 
 Defined results: an empty or null text is scored as a document without words;
-labels without quality, without a document, or in conflict (the larger label
-counts) do no harm; with labels of one kind or none, that share is the score
-of all; repeated rows are scored alike; an empty table gives no rows; other
-columns are ignored.
+a row without doc_id counts as held out and is scored as any other; labels
+without quality, without a document, or in conflict (the larger label counts)
+do no harm; documents that tie in the hash of their doc_id are taken by
+doc_id; rows of one labelled doc_id are all in the sample, at most those with
+the FIT_ROWS least ids; with labels of one kind or none, that share is the
+score of all; repeated rows are scored alike; a very long text is pooled whole
+by one task; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,6 +37,8 @@ from .tokens import mix, passes, texts_of, word_hashes
 
 #: Labelled rows that the model is fitted on, at most.
 FIT_ROWS = 20_000
+#: Parts that the fit sample is dealt to; each sends one sum of contexts (8 MB).
+FIT_PARTS = 16
 #: Bytes of text whose contexts are summed at once (some 60 bytes of arrays a byte).
 CONTEXT_BYTES = 250_000
 ROWS, DIMS, REACH, BLOCKS = 1 << 14, 64, 2, 16
@@ -204,6 +209,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> tuple[np.nd
     usable = usable.groupBy("doc_id").agg(F.max("quality").alias("quality"))
     chosen = F.broadcast(materialize(usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows), "chosen"))
     sample = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "quality")
+    sample = materialize(sample.repartition(FIT_PARTS, F.xxhash64("doc_id")), "sample")
     vectors = word_vectors(sample)
 
     @returned

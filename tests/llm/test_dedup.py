@@ -85,6 +85,13 @@ def test_exact_dedup_against_brute_force(spark, weak):
     assert sorted(rows, key=str) == want
 
 
+def test_exact_dedup_of_clashing_columns(spark):
+    docs = spark.createDataFrame([(i, f"t{i % 3}", "x", 1, True, 5, b"y") for i in range(9)], "doc_id long, text string, digest string, bucket int, old boolean, n long, key binary")
+    for buckets in (None, 3):
+        got = sorted(tuple(r) for r in exact_dedup.deduplicate(docs, F.col("doc_id") < 5, buckets).collect())
+        assert got == sorted((i, 6 + i % 3, 3, i > 5, hashlib.sha256(f"t{i % 3}".encode()).hexdigest()) for i in range(9))
+
+
 def test_exact_dedup_of_an_empty_table(spark):
     assert exact_dedup.deduplicate(spark.createDataFrame([], SCHEMA), F.col("doc_id") > 0).count() == 0
 

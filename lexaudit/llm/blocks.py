@@ -47,6 +47,12 @@ def unpack_bytes(data: bytes) -> list[bytes]:
     return [raw[a:b] for a, b in zip([4 * n, *ends], ends, strict=False)]
 
 
+def packed_ids(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """A column of ids as numbers, 0 for null, and whether each is known."""
+    known = np.array([x is not None for x in column.to_pylist()], bool)
+    return column.cast(pa.int64()).fill_null(0).to_numpy().astype(np.int64), known
+
+
 def chunks(batches: Iterable[pa.RecordBatch], size: int, column: str = "text") -> Iterator[pa.Table]:
     """Whole rows in tables of about size bytes of the column, one at least."""
     held, n = [], 0

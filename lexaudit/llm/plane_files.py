@@ -6,7 +6,7 @@ its own. One file is:
 
     magic "LXPLANE1"
     planes of block 0, planes of block 1, ...
-    document table: zstandard of doc_ids, then counts of ids (int64 each)
+    document table: zstandard of doc_ids (0 for null), then 1 for known ids and 0 for null, then counts of ids (int64 each)
     chunk index: zstandard of a row a block: offset, ids, compressed size of each plane (int64 each)
     footer: 8 int64 (blocks, documents, ids, planes, bit planes or not, offset of the document table, of the chunk index, block size), then the magic
 
@@ -15,8 +15,9 @@ order; a manifest names them in order. A file that a lost or repeated task
 wrote is not in the manifest.
 
 Defined results: a null text counts as empty and has the end id alone; a row
-without doc_id sorts first; rows that share a doc_id follow one another in
-any order; an empty table gives no file; other columns are ignored.
+without doc_id sorts first; any long is a doc_id; rows that share a doc_id
+follow one another by their texts; a very long text is a chunk of its own; an
+empty table gives no file; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -79,7 +80,7 @@ class Writer:
         self.out, self.bits, self.block = where.open_output_stream(inner), bits, block
         self.zip = zstandard.ZstdCompressor(level=level)
         self.at, self.held, self.waiting, self.ids = 0, 0, [], 0
-        self.docs, self.counts, self.index = [], [], []
+        self.docs, self.known, self.counts, self.index = [], [], [], []
         self._put(MAGIC)
 
     def _put(self, data: bytes) -> int:
@@ -92,7 +93,8 @@ class Writer:
 
     def extend(self, doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray) -> None:
         """Documents in order: their counts of ids, and all their ids."""
-        self.docs += [-(2**63) if x is None else x for x in doc_ids]
+        self.docs += [x or 0 for x in doc_ids]
+        self.known += [x is not None for x in doc_ids]
         self.counts += counts.tolist()
         self.waiting.append(ids)
         self.held += len(ids)
@@ -112,7 +114,7 @@ class Writer:
         if self.held:
             self._flush(np.concatenate(self.waiting))
         docs_at = self.at
-        self._put(self.zip.compress(np.array([self.docs, self.counts], "<i8").tobytes()))
+        self._put(self.zip.compress(np.array([self.docs, self.known, self.counts], "<i8").tobytes()))
         index_at = self.at
         self._put(self.zip.compress(np.array(self.index, "<i8").tobytes()))
         planes = 32 if self.bits else 4
@@ -132,8 +134,8 @@ class Reader:
             raise ValueError(f"{path} is not a plane file")
         self.blocks, self.n_docs, self.n_ids, self.planes, bits, docs_at, index_at, self.block = numbers
         self.bits, self.unzip = bool(bits), zstandard.ZstdDecompressor()
-        raw = self.unzip.decompress(self.file.read_at(index_at - docs_at, docs_at), max_output_size=16 * self.n_docs)
-        self.doc_ids, self.counts = np.frombuffer(raw, "<i8").reshape(2, self.n_docs)
+        raw = self.unzip.decompress(self.file.read_at(index_at - docs_at, docs_at), max_output_size=24 * self.n_docs)
+        self.doc_ids, self.known, self.counts = np.frombuffer(raw, "<i8").reshape(3, self.n_docs)
         raw = self.unzip.decompress(self.file.read_at(size - FOOTER.size - index_at, index_at), max_output_size=8 * self.blocks * (2 + self.planes))
         self.index = np.frombuffer(raw, "<i8").reshape(self.blocks, 2 + self.planes)
 
@@ -148,14 +150,14 @@ class Reader:
     def documents(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
         """(doc_id, ids before it in this file, ids), one block in memory at a time."""
         rest, block, start = np.zeros(0, np.uint32), 0, 0
-        for doc_id, n in zip(self.doc_ids.tolist(), self.counts.tolist(), strict=True):
+        for doc_id, known, n in zip(self.doc_ids.tolist(), self.known.tolist(), self.counts.tolist(), strict=True):
             parts, have = [rest], len(rest)
             while have < n:
                 parts.append(self.read_block(block))
                 have += len(parts[-1])
                 block += 1
             whole = np.concatenate(parts) if len(parts) > 1 else rest
-            yield None if doc_id == -(2**63) else doc_id, start, whole[:n]
+            yield doc_id if known else None, start, whole[:n]
             rest, start = whole[n:], start + n
 
 
@@ -179,7 +181,7 @@ def write(docs: DataFrame, tokenizer: str, path: str | None = None, end_id: int
         writer.close()
         return pa.table({"chunk": pa.array([chunk]), "path": [name], "n_docs": pa.array([len(doc_ids)]), "n_ids": pa.array([writer.ids])})
 
-    ordered = docs.select("doc_id", "text").repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id")
+    ordered = docs.select("doc_id", "text").repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
     made = encoded_chunks(ordered, tokenizer, file_of, "chunk long, path string, n_docs long, n_ids long", chunk_bytes, Blanks)
     files = materialize(made, "manifest")
     before = Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import chunks, pack_bytes, pack_keys, pack_planes, unpack_bytes, unpack_keys, unpack_planes
+from .blocks import chunks, pack_bytes, pack_keys, pack_planes, packed_ids, unpack_bytes, unpack_keys, unpack_planes
 from .store import bounded_batches, materialize, partitions, returned
 from .tokens import mix, passes, texts_of, word_hashes
 
@@ -116,7 +116,7 @@ def gather(docs: DataFrame, buckets: int, size: int = CHUNK_BYTES) -> DataFrame:
                 for b, own in _by_bucket(_bucket_of(kind, keys, buckets), buckets):
                     rows.append((chunk, kind, b, pack_keys(keys[own]), pack_planes(counts[own]), None, None))
             total = pack_bytes([pack_planes(pairs.astype(np.int64)), pack_planes(times), pack_planes(np.array([tokens, train.sum()], np.int64))])
-            held = pack_bytes([pack_planes(np.array([-(2**63) if x is None else x for x in table.column("doc_id").to_pylist()], np.int64)), pack_planes(train), pack_bytes(texts)])
+            held = pack_bytes([*(pack_planes(x) for x in packed_ids(table.column("doc_id"))), pack_planes(train), pack_bytes(texts)])
             rows.append((chunk, TEXTS, -1, None, None, total, held))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 4), strict=True)], ["chunk", "kind", "bucket", "keys", "counts", "pairs", "texts"])
 
@@ -228,8 +228,8 @@ def score(docs: DataFrame, size: int = CHUNK_BYTES) -> DataFrame:
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         data = next(x for x in left.column("texts").to_pylist() if x is not None)
-        doc_ids, train, texts = unpack_bytes(data)
-        doc_ids, train, texts = unpack_planes(doc_ids, np.int64), unpack_planes(train, bool), unpack_bytes(texts)
+        doc_ids, given, train, texts = unpack_bytes(data)
+        doc_ids, given, train, texts = unpack_planes(doc_ids, np.int64), unpack_planes(given, bool), unpack_planes(train, bool), unpack_bytes(texts)
         values = {(k, b): v for k, b, v in zip(*(right.column(c).to_pylist() for c in ("kind", "bucket", "values")), strict=True)}
         tables = {}
         for kind, type_ in ((GRAMS, np.float32), (WORDS, np.int64)):
@@ -256,7 +256,7 @@ def score(docs: DataFrame, size: int = CHUNK_BYTES) -> DataFrame:
                 base[a + full] += np.add.reduceat(np.log10((c + 1) / whole), begin)
                 n_known[a + full] += np.add.reduceat((c > 0).astype(np.int64), begin)
             n_tokens[a:b] += np.diff(first)
-        known = [None if x == -(2**63) else x for x in doc_ids.tolist()]
+        known = [x if k else None for x, k in zip(doc_ids.tolist(), given.tolist(), strict=True)]
         return pa.table({"doc_id": pa.array(known, pa.int64()), "held_out": pa.array(~train), "n_tokens": n_tokens, "n_known": n_known, "train_tokens": pa.array(np.full(len(texts), tokens)), "base_score": base, "score": model})
 
     left = blocks.select("chunk", "kind", "bucket", "keys", "texts").groupBy("chunk")

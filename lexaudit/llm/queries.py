@@ -32,7 +32,7 @@ def digested(encoded: DataFrame) -> DataFrame:
 def op3_bpe_word_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded through the distinct-word table and decoded through pieces."""
     path = public_tokenizers.path("byte_bpe_50k.json")
-    return digested(word_table.decode(word_table.encode(table(spark, sf_dir, "documents"), path), path))
+    return digested(word_table.round_trip(table(spark, sf_dir, "documents"), path))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,13 +8,17 @@ are joined back by position. Decoding joins ids with a table of pieces, whose
 size the vocabulary bounds.
 
 Words and numbers leave the chunk in one exchange, numbers by chunk and words
-by bucket, which both branches read; answers come back by chunk. Memory is
-that of one chunk, or of what all chunks ask one bucket.
+by bucket, which both branches read; answers come back by chunk. Questions of
+a bucket stream past its word table, so that memory is that of one chunk, or of
+one bucket's distinct words, of which it holds TABLE_WORDS at most (beyond
+them, words that come again are encoded again). Numbers of words follow from
+the rows of a chunk alone, so that a task that runs again gives them anew.
 
 Defined results: a null or empty text has no ids and decodes to an empty
 text; a special token's text is one id, as in the library; repeated rows are
-encoded alike; rows without doc_id are encoded too; an empty table gives no
-rows; other columns are ignored.
+encoded alike; rows without doc_id are encoded too; any long is a doc_id; a
+very long text is a chunk of its own; an empty table gives no rows; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,21 +27,27 @@ import json
 import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from itertools import count
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from .blocks import chunks, pack_bytes, pack_planes, unpack_bytes, unpack_planes
-from .store import bounded_batches, partitions, returned
+from .blocks import chunks, pack_bytes, pack_planes, packed_ids, unpack_bytes, unpack_planes
+from .store import bounded_batches, partitions, release, returned
 from .tokens import _ramp, texts_of
 from .words import SpacedEncoder, WordEncoder
 
 #: Bytes of text in a chunk, unless one text is longer.
 CHUNK_BYTES = 4_000_000
+#: Distinct words that a bucket remembers.
+TABLE_WORDS = 1_000_000
+#: Bytes of ids that are decoded at once.
+DECODE_BYTES = 500_000
 #: The byte-level pattern that the public GPT-2 encoder documents.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -95,34 +105,44 @@ def split_words(docs: DataFrame, path: str, buckets: int, size: int = CHUNK_BYTE
             order = np.argsort(of, kind="stable")
             ends = np.searchsorted(of[order], np.arange(buckets + 1))
             chunk = part * 1_000_000 + no
-            doc_ids = np.array([-(2**63) if x is None else x for x in table.column("doc_id").to_pylist()], np.int64)
-            held = [doc_ids, np.array([len(x) for x in placed], np.int64), np.concatenate(placed), of]
+            held = [*packed_ids(table.column("doc_id")), np.array([len(x) for x in placed], np.int64), np.concatenate(placed), of]
             yield _row(chunk, chunk, pack_bytes([pack_planes(x) for x in held]))
             yield from (_row(-1 - b, chunk, pack_bytes([words[i] for i in order[ends[b] : ends[b + 1]]])) for b in range(buckets) if ends[b] < ends[b + 1])
 
     return docs.select("doc_id", "text").mapInArrow(run, "key long, chunk long, data binary")
 
 
+def stays(condition: Column) -> Column:
+    """The condition, kept above an exchange that two branches share: filters that are not deterministic are not moved."""
+    return F.when(F.rand() < 2, condition)
+
+
 def encoded_chunks(docs: DataFrame, path: str, each: Callable[[int, list[int | None], np.ndarray, np.ndarray], pa.Table], schema: str, size: int = CHUNK_BYTES, splitter: type[Splitter] | type[Blanks] = Splitter) -> DataFrame:
     """What each(chunk, doc_ids, ids, ends) makes of every chunk; ends are where each document's ids end."""
     buckets = min(partitions(docs.sparkSession), 1 << 16)
     dealt = split_words(docs, path, buckets, size, splitter).repartition(buckets, "key")
 
-    def answer(table: pa.Table) -> pa.Table:
-        if table.column("key")[0].as_py() >= 0:
-            return table[:0]
-        encoder = SpacedEncoder(path) if splitter is Blanks else WordEncoder(path)
-        asked = [unpack_bytes(x) for x in table.column("data").to_pylist()]
-        distinct = list({w for words in asked for w in words})
-        ids = dict(zip(distinct, encoder.ids(distinct), strict=True))
-        return table.set_column(2, "data", pa.array([pack_bytes([ids[w] for w in words]) for words in asked], pa.binary()))
+    @returned
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, known = None, {}
+        for batch in batches:
+            for key, chunk, data in zip(*(batch.column(c) for c in ("key", "chunk", "data")), strict=True):
+                if key.as_py() >= 0:
+                    continue
+                encoder = encoder or (SpacedEncoder(path) if splitter is Blanks else WordEncoder(path))
+                words = unpack_bytes(data.as_py())
+                if len(known) > TABLE_WORDS:
+                    known.clear()
+                new = [w for w in words if w not in known]
+                known.update(zip(new, encoder.ids(new), strict=True))
+                yield _row(key.as_py(), chunk.as_py(), pack_bytes([known[w] for w in words]))
 
     def join_back(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not len(left) or left.column("key")[0].as_py() < 0:
+        if not len(left):
             return each(-1, [], np.zeros(0, np.uint32), np.zeros(0, np.int64)).slice(0, 0)
         answers = sorted(zip(right.column("key").to_pylist(), right.column("data").to_pylist(), strict=True), reverse=True)
         ids = [x for _, data in answers for x in unpack_bytes(data)]
-        doc_ids, counts, numbers, of = (unpack_planes(x, t) for x, t in zip(unpack_bytes(left.column("data")[0].as_py()), (np.int64, np.int64, np.uint32, np.uint16), strict=True))
+        doc_ids, given, counts, numbers, of = (unpack_planes(x, t) for x, t in zip(unpack_bytes(left.column("data")[0].as_py()), (np.int64, bool, np.int64, np.uint32, np.uint16), strict=True))
         flat = np.frombuffer(b"".join(ids), "<u4")
         sizes, at, order = np.zeros(len(of), np.int64), np.zeros(len(of), np.int64), np.argsort(of, kind="stable")
         sizes[order] = [len(x) // 4 for x in ids]
@@ -130,23 +150,39 @@ def encoded_chunks(docs: DataFrame, path: str, each: Callable[[int, list[int | N
         ids_of_word = sizes[numbers]
         ends = np.concatenate([[0], np.cumsum(ids_of_word)])[np.cumsum(counts)]
         whole = flat[np.repeat(at[numbers], ids_of_word) + _ramp(ids_of_word)]
-        known = [None if x == -(2**63) else x for x in doc_ids.tolist()]
-        return each(left.column("chunk")[0].as_py(), known, whole, ends)
+        made = each(left.column("chunk")[0].as_py(), [x if k else None for x, k in zip(doc_ids.tolist(), given.tolist(), strict=True)], whole, ends)
+        release()
+        return made
 
-    answers = dealt.groupBy("key").applyInArrow(answer, "key long, chunk long, data binary")
-    return dealt.groupBy("key").cogroup(answers.groupBy("chunk")).applyInArrow(join_back, schema)
+    answers = dealt.mapInArrow(answer, "key long, chunk long, data binary")
+    return dealt.where(stays(F.col("key") >= 0)).groupBy("key").cogroup(answers.groupBy("chunk")).applyInArrow(join_back, schema)
 
 
 def encode(docs: DataFrame, path: str, size: int = CHUNK_BYTES) -> DataFrame:
     """(doc_id, ids) of every row; ids are little-endian unsigned 32-bit integers in a binary value."""
 
     def rows(chunk: int, doc_ids: list[int | None], ids: np.ndarray, ends: np.ndarray) -> pa.Table:
-        flat, cuts = ids.astype("<u4").tobytes(), [0, *(4 * ends).tolist()]
-        return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "ids": pa.array([flat[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())})
+        return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "ids": pa.array(_cut(ids, ends), pa.binary())})
 
     return encoded_chunks(docs, path, rows, "doc_id long, ids binary", size)
 
 
+def round_trip(docs: DataFrame, path: str, size: int = CHUNK_BYTES) -> DataFrame:
+    """(doc_id, ids, text) of every row: encoded, and decoded again while the chunk is held."""
+
+    def rows(chunk: int, doc_ids: list[int | None], ids: np.ndarray, ends: np.ndarray) -> pa.Table:
+        cut = _cut(ids, ends)
+        texts = Pieces.of(path).texts(cut) if cut else []
+        return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "ids": pa.array(cut, pa.binary()), "text": pa.array(texts, pa.string())})
+
+    return encoded_chunks(docs, path, rows, "doc_id long, ids binary, text string", size)
+
+
+def _cut(ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    flat, cuts = ids.astype("<u4").tobytes(), [0, *(4 * ends).tolist()]
+    return [flat[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
 def byte_pieces(path: str) -> list[bytes]:
     """The bytes of each id of a byte-level tokenizer file."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -159,20 +195,41 @@ def byte_pieces(path: str) -> list[bytes]:
     return [pieces.get(i, b"") for i in range(max(pieces) + 1)]
 
 
+class Pieces:
+    """The table of pieces by id, in two arrays; ids of documents are joined with it by their value."""
+
+    def __init__(self, path: str):
+        pieces = byte_pieces(path)
+        self.flat = np.frombuffer(b"".join(pieces), np.uint8)
+        self.sizes = np.array([len(x) for x in pieces], np.int64)
+        self.at = np.cumsum(self.sizes) - self.sizes
+
+    @staticmethod
+    @lru_cache(maxsize=1)
+    def of(path: str) -> Pieces:
+        """The table of a tokenizer file, loaded once a worker."""
+        return Pieces(path)
+
+    def texts(self, ids: list[bytes]) -> list[str]:
+        """The text of each run of ids."""
+        out = []
+        for data in ids:
+            parts = []
+            for a in range(0, len(data), DECODE_BYTES):
+                own = np.frombuffer(data[a : a + DECODE_BYTES], "<u4")
+                parts.append(self.flat[np.repeat(self.at[own], self.sizes[own]) + _ramp(self.sizes[own])].tobytes())
+            out.append(b"".join(parts).decode("utf-8", "replace"))
+        return out
+
+
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """The rows (doc_id, ids) with their text, by a join of ids with pieces (at most the vocabulary's size)."""
+    """The rows (doc_id, ids) with their text, by a join of ids with pieces, whose table the vocabulary bounds."""
     bounded_batches(encoded.sparkSession)
 
     @returned
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = byte_pieces(path)
-        flat, sizes = np.frombuffer(b"".join(pieces), np.uint8), np.array([len(x) for x in pieces], np.int64)
-        at = np.cumsum(sizes) - sizes
         for batch in batches:
-            texts = []
-            for x in batch.column("ids").to_pylist():
-                ids = np.frombuffer(x or b"", "<u4")
-                texts.append(flat[np.repeat(at[ids], sizes[ids]) + _ramp(sizes[ids])].tobytes().decode("utf-8", "replace"))
+            texts = Pieces.of(path).texts([x or b"" for x in batch.column("ids").to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, text string")

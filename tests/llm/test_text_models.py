@@ -29,6 +29,7 @@ TEXTS = [
     (6, "x" * 5_000 + " " + "y" * 100),
     (7, "The cat sat on the mat.\nThe cat's hat isn't 12,345 big."),
     (None, "no id here"),
+    (-(2**63), "the least id of all"),
     (7, "The cat sat on the mat.\nThe cat's hat isn't 12,345 big."),
     (20, "the hat of the cat; the mat of the hat"),
     (21, "\t\r\n tabs\tand\r\nlines \u200b zero  width"),
@@ -97,7 +98,9 @@ def brute_digests(rows):
 def test_word_table_against_the_library(spark, size):
     got = queries.digested(word_table.decode(word_table.encode(frame(spark), BYTE_BPE, size), BYTE_BPE))
     assert sorted(map(tuple, got.collect()), key=str) == brute_digests(TEXTS)
+    assert sorted(map(tuple, queries.digested(word_table.round_trip(frame(spark), BYTE_BPE, size)).collect()), key=str) == sorted(map(tuple, got.collect()), key=str)
     assert word_table.encode(frame(spark, []), BYTE_BPE).count() == 0
+    assert word_table.round_trip(frame(spark, []), BYTE_BPE).count() == 0
 
 
 def test_word_table_query_against_the_library(spark):

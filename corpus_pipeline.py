@@ -45,7 +45,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and of decoded texts."""
     path = public_tokenizers.path("byte_bpe_50k.json")
-    return digested(word_table.decode(word_table.encode(docs, path), path))
+    return digested(word_table.round_trip(docs, path))
 
 
 STAGES = [

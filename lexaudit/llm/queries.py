@@ -102,15 +102,10 @@ FROM documents d JOIN parts USING (doc_id) LEFT JOIN sizes USING (doc_id)
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents without sentences that repeat in spans of two sentences and twenty words or more."""
+    """All documents without sentences that repeat in spans of three."""
     return substring_dedup.deduplicate(table(spark, sf_dir, "documents"))
 
 
-def op7_substring_dedup_single(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As op7_substring_dedup, with single sentences of twenty words or more as spans too."""
-    return substring_dedup.deduplicate(table(spark, sf_dir, "documents"), min_sentences=1)
-
-
 OP8_RULES = (
     url_filter.Rule("block", "net/"),
     url_filter.Rule("allow", "example.net/en/"),
@@ -155,7 +150,6 @@ def queries():
         "op5_decontaminate": op5_decontaminate,
         "op6_minhash_near_dedup": op6_minhash_near_dedup,
         "op7_substring_dedup": op7_substring_dedup,
-        "op7_substring_dedup_single": op7_substring_dedup_single,
         "op8_url_filter": op8_url_filter,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_plane_files": op10_plane_files,

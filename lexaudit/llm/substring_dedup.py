@@ -1,20 +1,20 @@
 """Substring deduplication by sliding sentence spans.
 
 A text is cut into sentences after ``.``, ``!`` or ``?`` that white space
-follows, and at line breaks. A span is a run of at least two sentences and twenty words
-that is the shortest from its first sentence on, or the shortest up to its
-last one, so that spans cover all sentences of any repeated passage that is
-long enough. Spans are hashed (96 bits)
-and joined globally; a sentence is removed if any span that covers it is not
-the first of its hash, in the order of doc_id and place in the text.
+follows, and at line breaks; a single word is no sentence of its own and goes
+with what follows it. Every run of RUN consecutive sentences is a span. Spans
+are hashed (96 bits, from the hashes of their sentences) and joined globally; a
+sentence is removed if any span that covers it is not the first of its hash,
+in the order of doc_id and place in the text.
 
 Defined results: white space is collapsed before hashing and otherwise bytes
 must agree; a null or empty text has no sentences and stays as it is; a text
-too short for a span keeps all its sentences (with min_sentences = 1 a lone
-sentence of min_words words is a span too); rows that share a doc_id have
-all that is removed from that doc_id removed from each; a row without doc_id
-keeps its text and is no first occurrence; an empty table gives no rows;
-other columns are ignored.
+with fewer sentences than a span keeps them all; what ends a text is a
+sentence, however short; rows that share a doc_id have all that is removed from
+that doc_id removed from each; a row without doc_id keeps its text and is no
+first occurrence; of equal spans in one text the first stays; a very long text
+is cut whole by one task; an empty table gives no rows; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,90 +22,100 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import bounded_batches, returned
+from .store import bounded_batches, materialize, returned
+from .tokens import mix, passes
+
+#: Sentences of a span.
+RUN = 3
+#: Words of a sentence, at least.
+LEAST_WORDS = 2
 
 _CUT = re.compile(r"(?<=[.!?])\s+|\n\s*")
 
 
-def sentences(text: str) -> list[int]:
-    """Where each sentence starts, with the white space behind it part of it; then the end."""
-    starts = [0, *(m.end() for m in _CUT.finditer(text))]
-    if starts[-1] != len(text):
+def sentences(text: str) -> tuple[list[int], list[bytes]]:
+    """Where each sentence starts, with the white space behind it part of it, then the end; and each one's words."""
+    starts, words, held = [0], [], []
+    begin = 0
+    for m in _CUT.finditer(text):
+        held += text[begin : m.start()].split()
+        begin = m.end()
+        if len(held) >= LEAST_WORDS:
+            starts.append(begin)
+            words.append(" ".join(held).encode())
+            held = []
+    held += text[begin:].split()
+    if starts[-1] < len(text):
         starts.append(len(text))
-    return starts if text else [0]
-
-
-def spans(text: str, min_sentences: int, min_words: int) -> Iterator[tuple[int, int, bytes]]:
-    """(first sentence, sentences, hash of 12 bytes) of every span."""
-    starts = sentences(text)
-    words = [text[a:b].split() for a, b in zip(starts, starts[1:], strict=False)]
-    joined = [" ".join(x) for x in words]
-    total = [0]
-    for x in words:
-        total.append(total[-1] + len(x))
-    end = before = 0
-    for i in range(len(joined)):
-        end = max(end, i + min_sentences)
-        while end <= len(joined) and total[end] - total[i] < min_words:
-            end += 1
-        whole = end <= len(joined)
-        if i:
-            for j in range(before + 1, min(end, len(joined) + 1)):  # ends that no shortest run from i on has
-                yield i - 1, j - i + 1, xxhash.xxh3_128_digest(" ".join(joined[i - 1 : j]))[:12]
-        if not whole:
-            return
-        yield i, end - i, xxhash.xxh3_128_digest(" ".join(joined[i:end]))[:12]
-        before = end
-
-
-def span_rows(docs: DataFrame, min_sentences: int = 2, min_words: int = 20) -> DataFrame:
-    """(doc_id, place, size, h1, h2, again) of every span; again: the text had it before."""
+        words.append(" ".join(held).encode())
+    return starts, words
+
+
+def spans(texts: list[str], run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, place, 64 bits, 32 bits, again) of every span of the texts; again: its text had it before."""
+    found = [sentences(t)[1] for t in texts]
+    counts = np.array([len(x) for x in found], np.int64)
+    hashes = np.frombuffer(b"".join(xxhash.xxh3_128_digest(w) for words in found for w in words), "<u8").reshape(-1, 2)
+    row = np.repeat(np.arange(len(texts)), counts)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+    whole = np.flatnonzero(place + run <= counts[row])
+    h1, h2 = np.zeros(len(whole), np.uint64), np.zeros(len(whole), np.uint64)
+    for i in range(run):
+        h1, h2 = mix(h1 + hashes[whole + i, 0]), mix(h2 + hashes[whole + i, 1])
+    low = (h2 >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    row, place, again = row[whole], place[whole], np.zeros(len(whole), bool)
+    order = np.lexsort((place, low, h1, row))
+    same = np.logical_and.reduce([x[order][1:] == x[order][:-1] for x in (row, h1, low)])
+    again[order[1:][same]] = True
+    return row, place, h1.view(np.int64), low, again
+
+
+def span_rows(docs: DataFrame, run: int = RUN) -> DataFrame:
+    """(doc_id, place, h1, h2, again) of every span; again: the text had it before."""
     bounded_batches(docs.sparkSession)
 
     @returned
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = ([], [], [], [], [], [])
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                seen = set()
-                for place, size, h in spans(text or "", min_sentences, min_words):
-                    for column, x in zip(rows, (doc_id, place, size, int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True), h in seen), strict=True):
-                        column.append(x)
-                    seen.add(h)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.bool_()), strict=True)], ["doc_id", "place", "size", "h1", "h2", "again"])
+            ids, texts = batch.column("doc_id").cast(pa.int64()).to_numpy(zero_copy_only=False), [x or "" for x in batch.column("text").to_pylist()]
+            for a, b in passes(texts):
+                row, place, h1, h2, again = spans(texts[a:b], run)
+                columns = [ids[a:b][row], place.astype(np.int32), h1, h2, again]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["doc_id", "place", "h1", "h2", "again"])
 
-    return docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(run, "doc_id long, place int, size int, h1 long, h2 int, again boolean")
+    return docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(made, "doc_id long, place int, h1 long, h2 int, again boolean")
 
 
 def repeated(found: DataFrame) -> DataFrame:
-    """(doc_id, place, size) of the spans that are not the first of their hash."""
-    once = found.where("not again").select("doc_id", "place", "size", "h1", "h2")
+    """(doc_id, place) of the spans that are not the first of their hash."""
+    once = found.where("not again").select("doc_id", "place", "h1", "h2")
     firsts = once.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where("first_id < last_id").select("h1", "h2", "first_id")
-    later = once.join(firsts, ["h1", "h2"]).where("doc_id > first_id").select("doc_id", "place", "size")
-    return later.union(found.where("again").select("doc_id", "place", "size"))
+    later = once.join(firsts, ["h1", "h2"]).where("doc_id > first_id").select("doc_id", "place")
+    return later.union(found.where("again").select("doc_id", "place"))
 
 
-def deduplicate(docs: DataFrame, min_sentences: int = 2, min_words: int = 20) -> DataFrame:
+def deduplicate(docs: DataFrame, run: int = RUN) -> DataFrame:
     """(doc_id, n_sentences, n_removed, text) of every row; text without the sentences that repeat."""
-    gone = repeated(span_rows(docs, min_sentences, min_words))
-    listed = gone.groupBy("doc_id").agg(F.collect_set(F.struct("place", "size")).alias("gone"))
+    gone = repeated(materialize(span_rows(docs, run), "spans"))
+    listed = gone.groupBy("doc_id").agg(F.collect_set("place").alias("gone"))
 
     @returned
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = ([], [], [], [])
-            for doc_id, text, gone in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "gone")), strict=True):
-                starts = sentences(text or "")
-                drop = {i for x in gone or () for i in range(x["place"], x["place"] + x["size"])}
-                kept = text if not drop else "".join(text[a:b] for i, (a, b) in enumerate(zip(starts, starts[1:], strict=False)) if i not in drop)
-                for column, x in zip(rows, (doc_id, len(starts) - 1, sum(i < len(starts) - 1 for i in drop), kept), strict=True):
-                    column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["doc_id", "n_sentences", "n_removed", "text"])
+            counts, removed, texts = [], [], []
+            for text, gone in zip(batch.column("text").to_pylist(), batch.column("gone").to_pylist(), strict=True):
+                starts = sentences(text or "")[0]
+                drop = {i for place in gone or () for i in range(place, min(place + run, len(starts) - 1))}
+                counts.append(len(starts) - 1)
+                removed.append(len(drop))
+                texts.append("".join(text[a:b] for i, (a, b) in enumerate(zip(starts, starts[1:], strict=False)) if i not in drop) if drop else text)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.string())], ["doc_id", "n_sentences", "n_removed", "text"])
 
     joined = docs.select("doc_id", "text").join(listed, "doc_id", "left").select("doc_id", "text", "gone")
-    return joined.mapInArrow(run, "doc_id long, n_sentences long, n_removed long, text string")
+    return joined.mapInArrow(kept, "doc_id long, n_sentences long, n_removed long, text string")

@@ -88,26 +88,30 @@ def test_proximity_matches(spark):
     assert [(r["doc_id"], r["start"]) for r in decontaminate.phrase_matches(docs, phrases).orderBy("doc_id").collect()] == [(1, 0), (5, 2)]
 
 
-def brute_dedup(rows, min_sentences=2, min_words=20):
+def brute_sentences(text):
+    """Pieces between cuts; one of a single word goes with the next."""
+    parts, held = [], ""
+    cuts = [0, *(m.end() for m in re.finditer(r"(?<=[.!?])\s+|\n\s*", text)), len(text)]
+    for a, b in zip(cuts, cuts[1:]):
+        held += text[a:b]
+        if len(held.split()) >= 2 and b < len(text):
+            parts.append(held)
+            held = ""
+    return parts + [held] * (held != "")
+
+
+def brute_dedup(rows, run=3):
     firsts, gone, out = {}, {}, {}
     for doc, text in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
-        cuts = [0, *(m.end() for m in re.finditer(r"(?<=[.!?])\s+|\n\s*", text or ""))]
-        parts = [(text or "")[a:b] for a, b in zip(cuts, [*cuts[1:], len(text or "")], strict=True)]
-        parts = [p for p in parts if p] if text else []
-        size, n = [len(p.split()) for p in parts], len(parts)
-        shortest = set()
-        for k in range(n):
-            shortest.add(next(((k, j) for j in range(k + min_sentences, n + 1) if sum(size[k:j]) >= min_words), None))
-            shortest.add(next(((i, k + 1) for i in range(k + 1 - min_sentences, -1, -1) if sum(size[i : k + 1]) >= min_words), None))
-        for i, j in shortest - {None}:
-            firsts.setdefault(" ".join(w for p in parts[i:j] for w in p.split()), []).append((doc, i, j))
-        out[doc] = (len(parts), parts, text)
+        parts = out[doc] = brute_sentences(text or "")
+        for i in range(len(parts) - run + 1):
+            firsts.setdefault(tuple(" ".join(p.split()) for p in parts[i : i + run]), []).append((doc, i))
     for found in firsts.values():
-        for doc, i, j in sorted(found)[1:]:
-            gone.setdefault(doc, set()).update(range(i, j))
-    for doc, (n, parts, text) in out.items():
-        drop = gone.get(doc, set())
-        out[doc] = (n, len(drop), None if text is None else "".join(p for i, p in enumerate(parts) if i not in drop))
+        for doc, i in sorted(found)[1:]:
+            gone.setdefault(doc, set()).update(range(i, i + run))
+    for doc, text in rows:
+        drop, parts = gone.get(doc, set()), out[doc]
+        out[doc] = (len(parts), len(drop), None if text is None else "".join(p for i, p in enumerate(parts) if i not in drop))
     return out
 
 
@@ -118,11 +122,16 @@ REPEATS = [
     (3, f"cut in the middle {PASSAGE} {PASSAGE}"),
     (4, None),
     (5, ""),
-    (6, "Too short. To be a span."),
-    (7, "Too short. To be a span."),
+    (6, "Too short. To be. A span it is."),
+    (7, "Too short. To be. A span it is."),
     (8, " " * 200_000 + "x. " * 300),
     (9, f"Start of one. {PASSAGE} End of one."),
     (10, "\U0001f600 " * 30 + ". é? " * 30),
+    (11, "Two sentences only. Of a passage."),
+    (12, "Two sentences only. Of a passage."),
+    (13, "\n\n a b.\n"),
+    (14, "Word. a b. c d. e f. Other"),
+    (15, "z y. Word. a b. c d. e f. Other"),
 ]
 
 
@@ -132,9 +141,10 @@ def test_substring_dedup_against_brute_force(spark):
     assert got.pop(None) == (3, 0, PASSAGE)
     assert got == brute_dedup(REPEATS)
     assert got[9][2] == "" and got[1][1] == 0 and "Another one follows" not in got[2][2]
+    assert got[7][1] == 3 and got[12][1] == 0 and got[15] == (5, 4, "z y. ")
     assert substring_dedup.deduplicate(docs.limit(0)).count() == 0
     long = spark.createDataFrame([(1, "x. " * 100_000), (2, " " * 1_000_000)], "doc_id long, text string")
-    assert [r["n_sentences"] for r in substring_dedup.deduplicate(long).orderBy("doc_id").collect()] == [100_000, 1]
+    assert [r["n_sentences"] for r in substring_dedup.deduplicate(long).orderBy("doc_id").collect()] == [50_000, 1]
 
 
 def test_substring_dedup_query_against_brute_force(spark):

@@ -42,7 +42,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten-word windows of the benchmark in all documents."""
+    """Ten-word windows of the benchmark in all documents, and how many are there but for some words' places."""
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
@@ -68,10 +68,19 @@ WITH d AS (
 ), by_item AS (
   SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
   FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY doc_id
+), phrases AS (
+  SELECT n, ws, unnest(ws[1:1]) AS first FROM (SELECT DISTINCT n, string_split(p, ' ') AS ws FROM win)
+), starts AS (
+  SELECT doc_id, w, unnest(w) AS first, unnest(range(1, len(w) + 1)) AS i FROM d
+), by_near AS (
+  SELECT doc_id, count(*) AS n_near FROM (
+    SELECT * FROM starts JOIN phrases USING (first) WHERE list_contains(w[greatest(1, i - 1):i + 3], ws[2]) AND list_contains(w[greatest(1, i + n - 3):i + n + 1], ws[n])
+  )
+  WHERE w[i:i + n - 1] <> ws AND len(list_filter(range(2, n + 1), lambda j: list_contains(w[greatest(1, i + j - 3):i + j + 1], ws[j]))) = n - 1 GROUP BY doc_id
 )
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN by_doc USING (doc_id) LEFT JOIN by_item USING (doc_id)
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0) AS n_near
+FROM d LEFT JOIN by_doc USING (doc_id) LEFT JOIN by_item USING (doc_id) LEFT JOIN by_near USING (doc_id)
 """
 
 

@@ -71,21 +71,38 @@ def test_contamination_against_brute_force(spark):
         assert (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) == (n, hit, k, hashlib.sha256(names.encode()).hexdigest(), hit > 0)
     assert decontaminate.contamination(docs.limit(0), items).count() == 0
     assert not decontaminate.contamination(docs, items.limit(0)).where("contaminated").count()
-    lone = spark.createDataFrame([(None, "a short item")], "doc_id long, text string")
-    assert [r["n_hit"] for r in decontaminate.contamination(lone, items).collect()] == [0]
-
-
-def test_proximity_matches(spark):
-    docs = spark.createDataFrame([(1, "alpha beta gamma"), (2, "alpha x beta gamma"), (3, "alpha x y z beta gamma"), (4, "gamma alpha beta"), (5, "ALPHA beta alpha beta gamma")], "doc_id long, text string")
-    phrases = spark.createDataFrame([("alpha beta gamma", 3)], "phrase string, n int")
-    terms = decontaminate.term_places(phrases).select("term").distinct()
-    postings = decontaminate.build_index(docs, terms)
-    found = {s: sorted({(r["doc_id"], r["start"]) for r in decontaminate.proximity_matches(postings, phrases, s).collect()}) for s in (0, 1, 2, 3)}
-    assert found[0] == [(1, 0), (5, 2)]
-    assert found[1] == [(1, 0), (2, 0), (5, 2)]
-    assert found[2] == [(1, 0), (2, 0), (4, 1), (5, 0), (5, 2)] or found[2] == [(1, 0), (2, 0), (5, 0), (5, 2)]
-    assert (3, 0) in found[3]
-    assert [(r["doc_id"], r["start"]) for r in decontaminate.phrase_matches(docs, phrases).orderBy("doc_id").collect()] == [(1, 0), (5, 2)]
+    lone = spark.createDataFrame([(None, "a short item"), (None, "clean"), (7, "no hit"), (7, "one short item")], "doc_id long, text string")
+    assert sorted((r["n_words"], r["n_hit"]) for r in decontaminate.contamination(lone, items).collect()) == [(1, 0), (2, 0), (3, 2), (3, 2)]
+
+
+def brute_matches(rows, phrases, slop):
+    found = set()
+    for text in rows:
+        w = WORD.findall(ascii_lower(text or ""))
+        for p in phrases:
+            q = p.split(" ")
+            for s in range(len(w)):
+                if w[s] == q[0] and all(x in w[max(0, s + j - slop) : s + j + slop + 1] for j, x in enumerate(q) if j):
+                    found.add((text, s, p, w[s : s + len(q)] == q))
+    return found
+
+
+@pytest.mark.parametrize("slop", [0, 1, 2, 3])
+def test_exact_and_proximity_matches(spark, slop):
+    import random
+
+    rng = random.Random(slop)
+    rows = ["alpha beta gamma", "alpha x beta gamma", "alpha x y z beta gamma", "gamma alpha beta", "ALPHA beta alpha beta gamma", None, ""]
+    rows += [" ".join(rng.choice(["alpha", "beta", "gamma", "delta", "Epsilon", "x"]) for _ in range(rng.randrange(60))) for _ in range(60)]
+    phrases = ["alpha beta gamma", "alpha alpha beta", "delta", "gamma delta epsilon alpha x", "unknown alpha"]
+    docs = spark.createDataFrame([(i, t, 1, "x") for i, t in enumerate([*rows, rows[0]])], "doc_id long, text string, pos int, term string").repartition(3)
+    given = spark.createDataFrame([(p, len(p.split())) for p in phrases], "phrase string, n int")
+    keys = {r["k"]: r["text"] for r in docs.select(decontaminate.text_key(F.col("text")).alias("k"), "text").collect()}
+    want = brute_matches(rows, phrases, slop)
+    for index in (None, decontaminate.build_index(docs)):
+        got = [(keys[r["text_key"]], r["start"], r["phrase"], r["exact"]) for r in decontaminate.phrase_matches(docs, given, slop, index).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert any(not m[3] for m in want) == (slop > 0)
 
 
 def brute_sentences(text):

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import clamp_window, collapse
+from .text import bind, clamp_window, collapse
 
 # Full names in the order they are tried, then acronyms.
 NAMES = (
@@ -39,7 +42,7 @@ ACRONYMS = {
     "RSE": "sentido_estrito",
 }
 BEFORE, AFTER, FILING_REACH = 80, 10, 240
-FILING_FORMULA = r"(?iU)Vistos,?\s+relatados|estes\s+autos\s+de|autos\s+em\s+que"
+FILING_FORMULAS = ("vistos relatados", "vistos, relatados", "estes autos de", "autos em que")
 
 
 def family(text: Column) -> Column:
@@ -57,7 +60,8 @@ def family_at(text: Column, start: Column) -> Column:
 
 def files(text: Column, start: Column) -> Column:
     """Whether the filing formula introduces the occurrence at offset start."""
-    return collapse(clamp_window(text, start, FILING_REACH, 0)).rlike(FILING_FORMULA)
+    said = F.lower(collapse(clamp_window(text, start, FILING_REACH, 0)))
+    return bind(said, lambda x: reduce(or_, (F.contains(x, F.lit(f)) for f in FILING_FORMULAS)))
 
 
 def kind(snippet: Column) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import digits
+from .text import bind, digits
 
 # Letters that scanning puts for digits, and the digits they stand for.
 OCR_LETTERS = "OolIGgSs"
@@ -17,8 +17,9 @@ OCR_DIGITS = "00116955"
 BLOCK = rf"[0-9{OCR_LETTERS}](?:[0-9{OCR_LETTERS}.\-\x20\n\r\t\xa0]*[0-9{OCR_LETTERS}])?"
 _EDGE = ".- \n\r\t\u00a0"
 _MARK = "\u0003"
-#: A letter that a digit stands beside, with nothing but dots between.
-_NUMERIC = rf"(?:(?<=[0-9]\.{{0,9}})[{OCR_LETTERS}]|[{OCR_LETTERS}](?=\.*[0-9]))"
+#: A letter that a digit stands behind, or before, with nothing but dots between.
+_BEFORE_DIGIT = rf"[{OCR_LETTERS}](?=\.*[0-9])"
+_BEHIND_DIGIT = rf"([0-9]\.*)([{OCR_LETTERS}])"
 
 
 def group_thousands(number: Column) -> Column:
@@ -38,14 +39,16 @@ def _trimmed_and_translated(block: Column) -> Column:
     another letter stands beside; the first character behind a mark is then
     translated. Trimming cuts unmarked letters only.
     """
-    marked = F.regexp_replace(block, _NUMERIC, _MARK + "$0")
+    marked = F.regexp_replace(F.regexp_replace(block, _BEFORE_DIGIT, _MARK + "$0"), _BEHIND_DIGIT, "$1" + _MARK + "$2")
     marked = F.regexp_replace(marked, rf"^[{OCR_LETTERS}]+", "")
     marked = _cut_tail(marked)
     marked = F.btrim(marked, F.lit(_EDGE))
-    pieces = F.split(marked, _MARK, -1)
-    first = F.get(pieces, F.lit(0))
-    rest = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), lambda p: F.concat(F.translate(F.substring(p, 1, 1), OCR_LETTERS, OCR_DIGITS), F.substring(p, 2, 1_000_000)))
-    return F.concat(first, F.array_join(rest, ""))
+    return bind(F.split(marked, _MARK, -1), lambda pieces: F.array_join(F.transform(pieces, _translated), ""))
+
+
+def _translated(piece: Column, i: Column) -> Column:
+    """A piece behind a mark, its first character as a digit; the piece before the first mark as it is."""
+    return F.when(i == 0, piece).otherwise(F.concat(F.translate(F.substring(piece, 1, 1), OCR_LETTERS, OCR_DIGITS), piece.substr(F.lit(2), F.length(piece))))
 
 
 def _cut_tail(marked: Column) -> Column:
@@ -55,11 +58,12 @@ def _cut_tail(marked: Column) -> Column:
 
 def normalize_block(block: Column) -> Column:
     """One block of digits as the registry writes it: masked, as punctuated, or grouped."""
-    text = _trimmed_and_translated(block)
-    only = digits(text)
-    punctuated = F.regexp_replace(text, r"[ \n\r\t\xa0]", "")
-    trimmed_has_mark = text.rlike(r"[.\-]")
-    return F.when(F.length(only) == 20, mask_unified(only)).when(trimmed_has_mark, punctuated).otherwise(group_thousands(only))
+
+    def written(text: Column, only: Column) -> Column:
+        punctuated = F.regexp_replace(text, r"[ \n\r\t\xa0]", "")
+        return F.when(F.length(only) == 20, mask_unified(only)).when(text.rlike(r"[.\-]"), punctuated).otherwise(group_thousands(only))
+
+    return bind(_trimmed_and_translated(block), lambda text: bind(digits(text), lambda only: written(text, only)))
 
 
 def identifiers(snippet: Column) -> Column:
@@ -71,7 +75,8 @@ def identifiers(snippet: Column) -> Column:
     """
     years = F.regexp_extract_all(snippet, F.lit(r"(?iU)\b(?:de|em)\s+((?:19|20)[0-9]{2})\b"), F.lit(1))
     regions = F.regexp_extract_all(snippet, F.lit(r"(?iU)\b(?:TRF|TRT|TRE|CJF|JEF)\s*-?\s*([0-9]{1,2})\b"), F.lit(1))
-    gone = F.array_union(years, regions)
     blocks = F.filter(F.regexp_extract_all(snippet, F.lit(BLOCK), F.lit(0)), lambda b: b.rlike("[0-9]"))
-    found = F.filter(F.transform(blocks, normalize_block), lambda n: ~F.array_contains(gone, digits(n)))
-    return F.filter(found, lambda n: (F.length(digits(n)) >= 2) & ~((F.size(found) > 1) & digits(n).rlike(r"^(?:19|20)[0-9]{2}$")))
+    read = F.transform(blocks, lambda b: bind(normalize_block(b), lambda n: F.struct(n.alias("n"), digits(n).alias("d"))))
+    found = bind(F.array_union(years, regions), lambda gone: F.filter(read, lambda x: ~F.array_contains(gone, x["d"])))
+    bare = r"^(?:19|20)[0-9]{2}$"
+    return bind(found, lambda all_: F.transform(F.filter(all_, lambda x: (F.length(x["d"]) >= 2) & ~((F.size(all_) > 1) & x["d"].rlike(bare))), lambda x: x["n"]))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,12 +14,13 @@ BLANK = r"[\p{IsWhite_Space}\x1c-\x1f]"
 PROSE_WIDTH = 60
 PREAMBLE_LIMIT = 2000
 LOWER_SHARE = 0.5
-LABEL_LINE = (
-    r"^(?:" + BLANK + r")*(?:[A-ZÀ-Ý][\p{L}\p{N}_.\- ]{0,30}:"
-    r"|Autos|Processos?|Protocolo|Apelante|Apelad[oa]|Recorrente|Recorrid[oa]"
-    r"|Impetrante|Impetrad[oa]|Embargante|Embargad[oa]|Agravante|Agravad[oa]"
-    r"|Requerente|Requerid[oa]|Interessad[oa]|Relator[a]?|Sess[ãa]o|Origem)"
-)
+#: Words that open a label line, besides any capitalised words of up to 31 characters before a colon.
+LABEL_WORDS = (
+    "Autos Processo Processos Protocolo Apelante Apelado Apelada Recorrente Recorrido Recorrida Impetrante Impetrado Impetrada Embargante Embargado Embargada "
+    "Agravante Agravado Agravada Requerente Requerido Requerida Interessado Interessada Relator Relatora Sessão Sessao Origem"
+).split()
+NAMED_LINE = r"[A-ZÀ-Ý][\p{L}\p{N}_.\- ]{0,30}:"
+LABEL_LINE = f"^{BLANK}*(?:{NAMED_LINE}|{'|'.join(LABEL_WORDS)})"
 
 
 def collapse(text: Column) -> Column:
@@ -25,6 +28,11 @@ def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, BLANK + "+", " "))
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What use makes of a value that is computed once, also within lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def digits(text: Column) -> Column:
     """The digits of a text alone."""
     return F.regexp_replace(text, r"[^0-9]", "")

@@ -85,6 +85,13 @@ def changed(before: DataFrame, after: DataFrame, columns: list[str]) -> DataFram
     return a.join(b, "doc_id", "left").where(~F.col("before").eqNullSafe(F.col("after")))
 
 
+def changed_prompts(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(doc_id, idx, before, after): questions (doc_id, idx, system, question) that only one of two runs asks, or that they word differently."""
+    said = F.concat_ws("\n", "system", "question")
+    a, b = before.select("doc_id", "idx", said.alias("before")), after.select("doc_id", "idx", said.alias("after"))
+    return a.join(b, ["doc_id", "idx"], "full").where(~F.col("before").eqNullSafe(F.col("after")))
+
+
 def listed(rows: DataFrame, docs: DataFrame, columns: list[str], order: str = "idx") -> DataFrame:
     """(doc_id, predictions): the listed columns of all rows of each document of docs, in their order; empty for documents without rows."""
     whole = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(order, *columns))).alias("all"))

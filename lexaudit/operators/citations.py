@@ -658,11 +658,21 @@ def is_case(t: str, start: int, end: int, quantity: bool = True, label: bool = T
     return not any(ends_in_label(snippet[max(0, m.start() - LABEL_REACH) : m.start()]) for m in _DIGITS.finditer(snippet))
 
 
-def spans(t: str, quantity: bool = True, label: bool = True, descriptive: bool = True) -> Iterator[tuple[int, int]]:
+#: Forms by name, in the order in which they are read; those of NUMBERED are filtered by what their number stands for.
+FORMS: dict[str, Callable[[str], Iterator[tuple[int, int]]]] = {
+    "numbered": numbered,
+    "summary": lambda t: forward(t, _SUMMARY, summary),
+    "article": lambda t: forward(t, _ARTICLE, article),
+    "topic": lambda t: forward(t, _TOPIC, topic),
+    "ruling": rulings,
+    "kind_court": lambda t: forward(t, _ANCHOR["kind"], by_kind_and_court),
+    "kind_year": lambda t: forward(t, _ANCHOR["kind"], by_kind_and_year),
+}
+NUMBERED = frozenset(("numbered", "summary", "article", "topic"))
+
+
+def spans(t: str, forms: Collection[str] = tuple(FORMS), quantity: bool = True, label: bool = True) -> Iterator[tuple[int, int]]:
     """Every citation of a text, form by form; spans may overlap."""
-    for form in (numbered(t), forward(t, _SUMMARY, summary), forward(t, _ARTICLE, article), forward(t, _TOPIC, topic)):
-        yield from (s for s in form if is_case(t, *s, quantity, label))
-    if descriptive:
-        yield from rulings(t)
-        yield from forward(t, _ANCHOR["kind"], by_kind_and_court)
-        yield from forward(t, _ANCHOR["kind"], by_kind_and_year)
+    for name, read in FORMS.items():
+        if name in forms:
+            yield from (s for s in read(t) if name not in NUMBERED or is_case(t, *s, quantity, label))

@@ -18,12 +18,12 @@ from . import citations
 from .spans import keep_longest
 
 #: Rules of extraction that can be switched off one by one.
-RULES = frozenset({"quantity", "label", "descriptive", "preamble", "dedup"})
+RULES = frozenset(citations.FORMS) | {"quantity", "label", "preamble", "dedup"}
 
 
 def spans_of(text: str, rules: frozenset[str] = RULES, body: int = 0) -> list[tuple[int, int]]:
     """(start, end) of the citations of one text that start at body or later; by place if they are deduplicated."""
-    found = [s for s in citations.spans(text, "quantity" in rules, "label" in rules, "descriptive" in rules) if s[0] >= body]
+    found = [s for s in citations.spans(text, rules, "quantity" in rules, "label" in rules) if s[0] >= body]
     return keep_longest(found) if "dedup" in rules else found
 
 

@@ -7,7 +7,7 @@ that no rule decides go to a chooser, in batches.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from ..functions.family import family, family_at, files
 from ..functions.identifiers import identifiers
 from ..functions.text import collapse
+from . import prompts
+from .models import Answerer
 from .normindex import look_up
 from .textindex import HEADER_LIMIT, candidates
 
@@ -37,8 +39,6 @@ CONFIDENCE = {
     "ambiguo": None,
 }
 KEY = ["doc_id", "idx"]
-#: (prompts) to answers, one a prompt.
-Chooser = Callable[[list[str]], list[str]]
 
 
 def confidence(path: Column) -> Column:
@@ -82,15 +82,10 @@ def decide(hits: Column, cited: Column) -> Column:
     return F.when(F.size(header) > 0, by_place).otherwise(by_family)
 
 
-def resolve_hits(citations: DataFrame, hits: DataFrame, chooser: Chooser | None = None) -> DataFrame:
-    """(doc_id, idx, class, record_id, confidence, path) of every citation.
-
-    citations: doc_id, idx, snippet, family, normative, norm_id, n_identifiers,
-    ambiguous. hits: doc_id, idx, record_id, position, family, files (and text,
-    if a chooser is given). Without a chooser disputes go to the first record.
-    """
-    slim = one_per_record(hits.select(*KEY, "record_id", "position", "family", "files", *(["text"] if chooser else [])))
-    texts = [F.substring("text", 1, OPTION_CHARS).alias("text")] if chooser else []
+def _ruled(citations: DataFrame, hits: DataFrame, texts_too: bool) -> DataFrame:
+    """The citations with their hits, and d: what the rules decide, null for a dispute."""
+    slim = one_per_record(hits.select(*KEY, "record_id", "position", "family", "files", *(["text"] if texts_too else [])))
+    texts = [F.substring("text", 1, OPTION_CHARS).alias("text")] if texts_too else []
     listed = slim.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("position", "record_id", "family", "files", *texts))).alias("hits"))
     rows = citations.join(listed, KEY, "left")
     n = F.when(F.col("hits").isNull(), F.lit(0)).otherwise(F.size("hits"))
@@ -103,13 +98,23 @@ def resolve_hits(citations: DataFrame, hits: DataFrame, chooser: Chooser | None
         .when(n == 0, _decision("inventada", "sem_candidato"))
         .otherwise(decide(F.col("hits"), F.col("family")))
     )
-    decided = rows.withColumn("d", rule)
+    return rows.withColumn("d", rule)
+
+
+def resolve_hits(citations: DataFrame, hits: DataFrame, chooser: Answerer | None = None, prompt: prompts.Prompt | None = None) -> DataFrame:
+    """(doc_id, idx, class, record_id, confidence, path) of every citation.
+
+    citations: doc_id, idx, snippet, family, normative, norm_id, n_identifiers,
+    ambiguous. hits: doc_id, idx, record_id, position, family, files (and text,
+    if a chooser is given). Without a chooser disputes go to the first record.
+    """
+    decided = _ruled(citations, hits, chooser is not None)
     if chooser is None:
         stub = _decision("real", "desempate", F.get("hits", F.lit(0))["record_id"])
         decided = decided.withColumn("d", F.coalesce("d", stub))
     else:
         open_ = decided.where("d is null").select(*KEY, "snippet", "hits")
-        chosen = choose(open_, chooser).withColumnRenamed("choice", "picked")
+        chosen = choose(open_, chooser, prompt).withColumnRenamed("choice", "picked")
         decided = decided.join(chosen, KEY, "left")
         picked = F.when(F.col("picked") < 0, _decision("inventada", "so_mencionado")).otherwise(_decision("real", "desempate", F.get("hits", F.col("picked"))["record_id"]))
         decided = decided.withColumn("d", F.coalesce("d", picked))
@@ -128,15 +133,26 @@ def answer_index(answer: Column, total: Column) -> Column:
     return F.when(choice == -1, F.lit(-1)).when(choice < total, choice).otherwise(F.lit(0)).cast("int")
 
 
-def choose(disputes: DataFrame, chooser: Chooser, batch: int = 16) -> DataFrame:
+def questions(disputes: DataFrame, prompt: prompts.Prompt | None = None) -> DataFrame:
+    """(doc_id, idx, prompt, system, question, total) of disputes (snippet, hits with text); prompt is the label of its version."""
+    used = prompt or prompts.current("choice")
+    filled = F.replace(F.replace(F.lit(used.template), F.lit("{citation}"), collapse(F.col("snippet"))), F.lit("{options}"), options(F.col("hits.text")))
+    return disputes.select(*KEY, F.lit(used.label).alias("prompt"), F.lit(used.system).alias("system"), filled.alias("question"), F.size("hits").alias("total"))
+
+
+def disputes(citations: DataFrame, hits: DataFrame) -> DataFrame:
+    """(doc_id, idx, snippet, hits) of the citations that no rule decides."""
+    return _ruled(citations, hits, True).where("d is null").select(*KEY, "snippet", "hits")
+
+
+def choose(disputed: DataFrame, chooser: Answerer, prompt: prompts.Prompt | None = None) -> DataFrame:
     """(doc_id, idx, choice): the chooser's pick for each dispute (snippet, hits with text); it is not called without disputes."""
-    head = F.concat(F.lit("Citation: "), collapse(F.col("snippet")), F.lit("\nRecords:\n"), options(F.col("hits.text")), F.lit("\nWhich number is cited? 0 for none."))
-    asked = disputes.select(*KEY, head.alias("prompt"), F.size("hits").alias("total"))
+    asked = questions(disputed, prompt)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            told = [a for i in range(0, len(part), batch) for a in chooser(part["prompt"].iloc[i : i + batch].tolist())]
-            yield part.assign(answer=told)[[*KEY, "answer", "total"]]
+            if len(part):
+                yield part.assign(answer=chooser(part["system"].iloc[0], part["question"].tolist()))[[*KEY, "answer", "total"]]
 
     schema = f"doc_id {asked.schema['doc_id'].dataType.simpleString()}, idx int, answer string, total int"
     return asked.mapInPandas(run, schema).select(*KEY, answer_index(F.col("answer"), F.col("total")).alias("choice"))
@@ -153,8 +169,8 @@ def gather(citations: DataFrame, counts: DataFrame, found: DataFrame) -> tuple[D
     return flagged.withColumn("n_identifiers", F.size("ids")).drop("over", "decisive"), asked.join(found, "phrase")
 
 
-def verify(citations: DataFrame, registry: DataFrame, postings: DataFrame, norms: DataFrame, chooser: Chooser | None = None) -> DataFrame:
-    """Resolutions of (doc_id, idx, snippet) against a registry, its index and its normative index.
+def found_hits(citations: DataFrame, registry: DataFrame, postings: DataFrame, norms: DataFrame, texts_too: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Citations (doc_id, idx, snippet) as resolve_hits takes them, and their hits in a registry, its index and its normative index.
 
     Identifiers are looked up once each, however many citations name them.
     Citations with their identifiers are kept (in memory or on disk), so that
@@ -163,6 +179,10 @@ def verify(citations: DataFrame, registry: DataFrame, postings: DataFrame, norms
     looked = look_up(citations.select(*KEY, "snippet"), norms).withColumn("family", family(F.col("snippet")))
     looked = looked.withColumn("ids", F.when(F.col("normative"), F.array().cast("array<string>")).otherwise(identifiers(F.col("snippet")))).persist()
     counts, found = candidates(registry, postings, looked.select(F.explode("ids").alias("phrase")).distinct())
-    read = found.select("phrase", "record_id", "position", family_at(F.col("text"), F.col("start")).alias("family"), files(F.col("text"), F.col("start")).alias("files"), *(["text"] if chooser else []))
-    flagged, hits = gather(looked, counts, read)
-    return resolve_hits(flagged, hits, chooser)
+    read = found.select("phrase", "record_id", "position", family_at(F.col("text"), F.col("start")).alias("family"), files(F.col("text"), F.col("start")).alias("files"), *(["text"] if texts_too else []))
+    return gather(looked, counts, read)
+
+
+def verify(citations: DataFrame, registry: DataFrame, postings: DataFrame, norms: DataFrame, chooser: Answerer | None = None, prompt: prompts.Prompt | None = None) -> DataFrame:
+    """Resolutions of citations (doc_id, idx, snippet); see found_hits and resolve_hits."""
+    return resolve_hits(*found_hits(citations, registry, postings, norms, chooser is not None), chooser, prompt)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,14 +16,14 @@ BROADCAST_PHRASES = 100_000
 #: 1-based positions below this lie in a record's header (fixed value).
 HEADER_LIMIT = 2000
 
-# Letters with marks and their plain forms (fixed values: Latin-1 and common Latin Extended-A letters).
-MARKED = "áàâãäåéèêëíìîïóòôõöúùûüçñýÿāăąćĉċčďēĕėęěĝğġģĥĩīĭįĵķĺļľńņňōŏőŕŗřśŝşšţťũūŭůűųŵŷźżž"
-PLAIN = "aaaaaaeeeeiiiiooooouuuucnyyaaaccccdeeeeegggghiiiijklllnnnooorrrssssttuuuuuuwyzzz"
+#: Lower-case letters with marks and the plain letters under the marks, as Unicode decomposes them.
+_PLAIN = {c: base for c in map(chr, range(0xC0, 0x2000)) if c == c.lower() and (parts := unicodedata.normalize("NFD", c))[0] != c and len(base := parts[0]) and all(unicodedata.category(x) == "Mn" for x in parts[1:])}
+MARKED, PLAIN = "".join(_PLAIN), "".join(_PLAIN.values())
 
 
 def tokens(text: Column) -> Column:
-    """Tokens of a text: lower-cased, marks folded, cut at whatever is no letter or digit."""
-    plain = F.translate(F.lower(F.coalesce(text, F.lit(""))), MARKED, PLAIN)
+    """Tokens of a text: lower-cased, without marks on letters (decomposed or not), cut at whatever is no letter or digit."""
+    plain = F.translate(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\p{Mn}+", ""), MARKED, PLAIN)
     return F.array_remove(F.split(plain, r"[^\p{L}\p{N}\p{Co}]+"), "")
 
 
@@ -33,6 +35,12 @@ def index(registry: DataFrame, id_column: str = "row_id", text: str = "text") ->
     return both.select("row_id", "pos", "x.token", "x.next").where("token is not null")
 
 
+def stored(postings: DataFrame, path: str) -> DataFrame:
+    """The index written to path, each part ordered by token, and read back: it is made once, however often it is searched."""
+    postings.sortWithinPartitions("token", "next").write.parquet(path)
+    return postings.sparkSession.read.schema(postings.schema).parquet(path)
+
+
 def token_windows(text: Column, n: int) -> Column:
     """All distinct runs of n tokens of a text, each joined by blanks; the whole sequence of a text with fewer, none without tokens."""
     t = tokens(text)

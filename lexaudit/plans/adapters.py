@@ -65,6 +65,20 @@ SELECT l_orderkey AS doc_id, l_linenumber AS line, asked, CASE l_linenumber % 2
 FROM (SELECT *, CAST(asked AS VARCHAR(10)) AS n FROM (SELECT l_orderkey, l_linenumber, 1000000 + l_orderkey - l_orderkey % 2 + CASE WHEN l_linenumber = 3 THEN 8000000 ELSE 0 END AS asked FROM {LINES}) a) b
 """
 
+#: Sentences with one citation of some form, or (snippet null) with a number that is none.
+FORMS = """
+SELECT doc_id, CASE k WHEN 1 THEN 'Segundo a ' WHEN 9 THEN 'conforme reiterados argumentos e o ' WHEN 16 THEN 'Também no ' WHEN 17 THEN 'Confira-se o ' WHEN 18 THEN 'Evidentemente a ' ELSE 'a parte recorrente invoca em seu favor o ' END AS before,
+       CASE k WHEN 0 THEN concat('Súmula ', n, ' do STF') WHEN 1 THEN concat('5úmula Vinculante ', n) WHEN 2 THEN concat('Sum. ', n) WHEN 3 THEN concat('Tema 1.', n, ' da repercussão geral') WHEN 4 THEN concat('tema ', n)
+         WHEN 5 THEN concat('art. ', n, ', II, do CPC') WHEN 6 THEN concat('artigo 1 ', n, ' do Código Civil') WHEN 7 THEN concat('art. 3º, § 2º, da Lei nº 9.', n, '/1995') WHEN 8 THEN concat('art. 41 do Decreto-Lei n.º 2.', n, '/1940')
+         WHEN 9 THEN concat('julgado do STF proferido em ', y, ' pela relatoria de ', name) WHEN 10 THEN concat('acórdão da Segunda Turma do STJ, de ', y, ', Rel. Min. ', name) WHEN 11 THEN concat('entendimento firmado pelo TST em ', y)
+         WHEN 12 THEN concat('acórdão do TRT da 15ª Região de ', y) WHEN 13 THEN concat('Reclamação do STF, de ', y, ', Rel. Min. ', name) WHEN 14 THEN concat('Agravo em Recurso Especial do STJ, de ', y, ', Rel. Min. ', name)
+         WHEN 15 THEN concat('RMS de ', y, ', Rel. Min. ', name) WHEN 16 THEN concat('Recurso Especial nº l', n, 'O', n, '/SP') WHEN 17 THEN concat('Agravo Interno na Suspensão de Liminar e de Sentença nº 2.', n, '/MA') WHEN 18 THEN concat('Reclamação ', n, '/BA') END AS snippet,
+       CASE k WHEN 19 THEN concat('prazo de ', n, ' dias') WHEN 20 THEN concat('CNPJ 12.', n, '.678/0001-90') WHEN 21 THEN concat('Protocolo nº 2023.', n) WHEN 22 THEN concat('Decreto ', n) WHEN 23 THEN concat('DJe de 14/3/', y) WHEN 24 THEN concat('Evento ', n)
+         WHEN 25 THEN concat('Emenda Constitucional ', n) WHEN 26 THEN concat('Instrução Normativa ', n) WHEN 27 THEN 'reiterados precedentes do Superior Tribunal de Justiça' WHEN 28 THEN concat('Desconto de 1/', n) WHEN 29 THEN concat('R$ ', n, '.772,18') ELSE '' END
+         || ', nos termos expostos acima' AS after
+FROM (SELECT o_orderkey AS doc_id, o_orderkey % 30 AS k, CAST(100 + o_custkey % 900 AS VARCHAR(10)) AS n, CAST(1990 + o_custkey % 30 AS VARCHAR(10)) AS y, CASE o_custkey % 3 WHEN 0 THEN 'Herman Benjamin' WHEN 1 THEN 'MARIA DA PENHA' ELSE 'José de Souza Neto' END AS name FROM orders) x
+"""
+
 #: Gold citations, and predictions that miss, shift or mislabel some.
 GOLD = f"""
 SELECT l_orderkey AS doc_id, l_linenumber AS line, CAST(l_linenumber * 100 AS INT) AS start, CAST(l_linenumber * 100 + 20 + l_partkey % 10 AS INT) AS "end",

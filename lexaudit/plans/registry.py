@@ -114,44 +114,20 @@ def q_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
 COLLAPSE_SQL = r"SELECT doc_id, md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS collapsed, md5(regexp_replace(text, '[^0-9]', '', 'g')) AS digits FROM documents"
 
 
-def _first_tokens(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
-    items = table(spark, sf_dir, "benchmark")
-    return items.select(F.array_join(F.slice(textindex.tokens(F.col("text")), 1, n), " ").alias("phrase")).distinct()
-
-
-def q_phrase_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where the first eight words of benchmark items stand in documents; q_phrase_windows searches all windows."""
-    postings = textindex.index(table(spark, sf_dir, "documents"), "doc_id")
-    return textindex.phrase_hits(postings, _first_tokens(spark, sf_dir, 8))
-
-
 TOKENS_SQL = r"regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+')"
 
 
-def _phrases_sql(n: int) -> str:
-    return f"""
-t AS (SELECT doc_id, {TOKENS_SQL} AS t FROM documents),
-p AS (SELECT DISTINCT array_to_string(({TOKENS_SQL})[1:{n}], ' ') AS phrase FROM benchmark),
-hits AS (SELECT phrase, doc_id AS row_id, i - 1 AS pos FROM (SELECT doc_id, i, array_to_string(t[i:i + {n - 1}], ' ') AS phrase FROM (SELECT doc_id, t, unnest(range(1, len(t) - {n - 2})) AS i FROM t)) JOIN p USING (phrase))"""
-
-
-def q_phrase_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records of the first two words of benchmark items, and whether they are too many; q_phrase_windows_cap counts all windows."""
-    postings = textindex.index(table(spark, sf_dir, "documents"), "doc_id")
-    return textindex.phrase_counts(textindex.phrase_hits(postings, _first_tokens(spark, sf_dir, 2)))
-
-
 def _windows(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
     items = table(spark, sf_dir, "benchmark")
     return items.select(F.explode(textindex.token_windows(F.col("text"), n)).alias("phrase")).distinct()
 
 
-def q_phrase_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q_phrase_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where any eight-word window of benchmark items stands in documents."""
     return textindex.window_hits(table(spark, sf_dir, "documents"), _windows(spark, sf_dir, 8), "doc_id")
 
 
-def q_phrase_windows_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q_phrase_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of all two-word windows of benchmark items, and whether they are too many."""
     return textindex.phrase_counts(textindex.window_hits(table(spark, sf_dir, "documents"), _windows(spark, sf_dir, 2), "doc_id"))
 
@@ -280,6 +256,19 @@ def q_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(_opinions(spark, sf_dir))
 
 
+def q_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Citations of every form, in sentences that have one or a number that is none."""
+    return extract(derived(spark, sf_dir, A.FORMS, "orders").select("doc_id", F.concat("before", F.coalesce("snippet", F.lit("")), "after").alias("text")))
+
+
+def q_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a model would be asked about each dispute, and the version of the prompt."""
+    cites = derived(spark, sf_dir, A.CITATIONS, "lineitem")
+    hits = derived(spark, sf_dir, A.HITS, "lineitem").withColumn("text", F.concat(F.lit("Recurso  \n"), F.col("record_id").cast("string")))
+    asked = resolve.questions(resolve.disputes(cites, hits))
+    return asked.select("doc_id", "idx", "prompt", "total", F.md5(F.col("question").cast("binary")).alias("question"))
+
+
 def q_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Citations of derived opinions, extracted, looked up in a derived registry and decided."""
     registry = derived(spark, sf_dir, A.REGISTRY, "orders")
@@ -311,7 +300,7 @@ SELECT l_orderkey, l_linenumber, CASE l_partkey % 5 WHEN 2 THEN 0 WHEN 3 THEN -1
 def q_choose(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Disputes given to a chooser in batches; it picks by the length of the prompt."""
     cites, hits = derived(spark, sf_dir, A.CITATIONS, "lineitem"), derived(spark, sf_dir, A.HITS, "lineitem").withColumn("text", F.lit("Recurso"))
-    chooser = lambda prompts: [str(p.count("Recurso")) for p in prompts]
+    chooser = lambda system, asked: [str(p.count("Recurso")) for p in asked]
     return resolve.resolve_hits(cites, hits, chooser).where("path = 'desempate'").select("doc_id", "idx", "record_id")
 
 
@@ -321,6 +310,14 @@ SELECT doc_id, idx, last(best.record_id ORDER BY position, best.record_id) AS re
 """
 
 
+QUESTIONS_SQL = f"""
+WITH x AS ({RESOLVE_SQL}), {BEST_SQL},
+o AS (SELECT doc_id, idx, count(*) AS total, string_agg(concat(place, '. Recurso ', record_id), chr(10) ORDER BY place) AS listed
+      FROM (SELECT best.*, row_number() OVER (PARTITION BY doc_id, idx ORDER BY position, best.record_id) AS place FROM x JOIN best USING (doc_id, idx) WHERE path = 'desempate') GROUP BY doc_id, idx)
+SELECT doc_id, idx, 'choice@2' AS prompt, total, md5(concat('Citation: ', snippet, chr(10), 'Records:', chr(10), listed, chr(10), 'Which number is cited? 0 for none.')) AS question FROM o JOIN ({A.CITATIONS}) USING (doc_id, idx)
+"""
+
+
 def _decided(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     found = derived(spark, sf_dir, A.PREDICTED, "lineitem").withColumn("snippet", F.concat(F.lit('REsp "'), "record_id"))
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id")), found
@@ -488,18 +485,6 @@ SELECT n_name AS rule, round(n_nationkey / 100.0::DOUBLE, 8) AS drop_a, round(n_
 """
 
 
-def q_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents whose first predictions differ between two revisions; q_changed_lists compares all of them."""
-    a = derived(spark, sf_dir, A.PREDICTED, "lineitem").where("idx = 1").select("doc_id", "class", "record_id")
-    b = derived(spark, sf_dir, A.GOLD, "lineitem").where("line = 1").select("doc_id", "class", "record_id")
-    return audit.changed(a, b, ["class", "record_id"]).select("doc_id", F.col("before.class").alias("was"), F.col("after.class").alias("became"))
-
-
-CHANGED_SQL = f"""
-SELECT a.doc_id, a.class AS was, b.class AS became FROM (SELECT * FROM ({A.PREDICTED}) WHERE idx = 1) a LEFT JOIN (SELECT * FROM ({A.GOLD}) WHERE line = 1) b USING (doc_id)
-WHERE b.doc_id IS NULL OR a.class <> b.class OR a.record_id IS DISTINCT FROM b.record_id
-"""
-
 PREDICTION = ["start", "end", "class", "record_id", "confidence"]
 
 
@@ -507,7 +492,7 @@ def _shown(predictions: Column) -> Column:
     return F.array_join(F.transform(predictions, lambda x: F.array_join(F.array(*(x[c].cast("string") for c in PREDICTION)), ":", "-")), ",")
 
 
-def q_changed_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose whole lists of predictions differ between two revisions, with both lists."""
     a, b = (derived(spark, sf_dir, sql, "lineitem").withColumn("confidence", F.round("confidence", 4)) for sql in (A.PREDICTED, A.REVISED))
     docs = a.select("doc_id").union(b.select("doc_id")).distinct()
@@ -521,7 +506,7 @@ def _listed_sql(sql: str) -> str:
     return f"""SELECT doc_id, count(*) AS n, list({{'s': start, 'e': "end", 'c': class, 'r': record_id, 'p': round(confidence, 4)}} ORDER BY idx) AS l, string_agg(concat({shown}), ',' ORDER BY idx) AS t FROM ({sql}) GROUP BY doc_id"""
 
 
-CHANGED_LISTS_SQL = f"""
+CHANGED_SQL = f"""
 SELECT doc_id, coalesce(a.n, 0) AS n_was, coalesce(b.n, 0) AS n_became, coalesce(a.t, '') AS was, coalesce(b.t, '') AS became
 FROM ({_listed_sql(A.PREDICTED)}) a FULL JOIN ({_listed_sql(A.REVISED)}) b USING (doc_id) WHERE a.l IS DISTINCT FROM b.l
 """
@@ -534,10 +519,8 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "q_identifiers": (q_identifiers, f"SELECT doc_id, grouped AS ids FROM ({A.SNIPPETS})"),
     "q_unified_numbers": (q_unified_numbers, f"SELECT doc_id, masked AS ids FROM ({A.UNIFIED})"),
     "q_collapse": (q_collapse, COLLAPSE_SQL),
-    "q_phrase_search": (q_phrase_search, f"WITH {_phrases_sql(8)} SELECT phrase, row_id, pos FROM hits"),
-    "q_phrase_cap": (q_phrase_cap, f"WITH {_phrases_sql(2)} SELECT phrase, count(DISTINCT row_id) AS n_records, count(DISTINCT row_id) > 8 AS ambiguous FROM hits GROUP BY phrase"),
-    "q_phrase_windows": (q_phrase_windows, f"WITH {_all_windows_sql(8)} SELECT phrase, row_id, pos FROM hits"),
-    "q_phrase_windows_cap": (q_phrase_windows_cap, f"WITH {_all_windows_sql(2)} SELECT phrase, count(DISTINCT row_id) AS n_records, count(DISTINCT row_id) > 8 AS ambiguous FROM hits GROUP BY phrase"),
+    "q_phrase_search": (q_phrase_search, f"WITH {_all_windows_sql(8)} SELECT phrase, row_id, pos FROM hits"),
+    "q_phrase_cap": (q_phrase_cap, f"WITH {_all_windows_sql(2)} SELECT phrase, count(DISTINCT row_id) AS n_records, count(DISTINCT row_id) > 8 AS ambiguous FROM hits GROUP BY phrase"),
     "q_first_position": (q_first_position, f"SELECT doc_id, expected AS position, expected < 2000 AS header FROM ({A.PLACED})"),
     "q_windows": (q_windows, WINDOWS_SQL),
     "q_vote": (q_vote, VOTE_SQL),
@@ -548,6 +531,8 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "q_answers": (q_answers, ANSWERS_SQL),
     "q_choose": (q_choose, CHOOSE_SQL),
     "q_extract": (q_extract, f'WITH {OPINIONS_SQL} SELECT doc_id, idx, start, start + length(snippet) AS "end", snippet FROM o'),
+    "q_forms": (q_forms, f'SELECT doc_id, 0 AS idx, length(before) AS start, length(before) + length(snippet) AS "end", snippet FROM ({A.FORMS}) WHERE snippet IS NOT NULL'),
+    "q_questions": (q_questions, QUESTIONS_SQL),
     "q_verify": (q_verify, VERIFY_SQL),
     "q_contract_cells": (q_contract_cells, CELLS_SQL),
     "q_contract_json": (q_contract_json, JSON_SQL),
@@ -565,7 +550,6 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "q_folds": (q_folds, FOLDS_SQL),
     "q_ablation": (q_ablation, ABLATION_SQL),
     "q_changed": (q_changed, CHANGED_SQL),
-    "q_changed_lists": (q_changed_lists, CHANGED_LISTS_SQL),
 }
 
 

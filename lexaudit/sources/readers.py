@@ -18,21 +18,30 @@ def registry(spark: SparkSession, path: str, format: str = "parquet", **options:
     return spark.read.format(format).options(**options).load(path).select("row_id", "record_id", "court", "nature", "text")
 
 
-def registry_from_sqlite(spark: SparkSession, path: str) -> DataFrame:
-    """The registry of an SQLite file (table documentos); a one-time export, read on the driver's machine in blocks."""
+def registry_from_sqlite(spark: SparkSession, path: str, folder: str, block: int = 10_000) -> DataFrame:
+    """The registry of an SQLite file (table documentos), exported once on the driver's machine.
+
+    Blocks of rows go to folder (a path or URI that pyarrow and Spark both
+    open) as Parquet files, one at a time, and are read back from there.
+    """
     import sqlite3
 
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    where, inner = fs.FileSystem.from_uri(folder if ":" in folder else f"file://{folder}")
+    where.create_dir(inner, recursive=True)
+    kinds = pa.schema([("row_id", pa.int64()), ("record_id", pa.int64()), ("court", pa.string()), ("nature", pa.string()), ("text", pa.string())])
     con = sqlite3.connect(f"file:{path}?mode=ro", uri=True)
     rows = con.execute("SELECT rowid, id, tribunal, natureza, texto FROM documentos")
-    schema = "row_id long, record_id long, court string, nature string, text string"
-    parts = []
-    while block := rows.fetchmany(10_000):
-        parts.append(spark.createDataFrame(block, schema))
+    no = 0
+    while (part := rows.fetchmany(block)) or not no:
+        columns = [pa.array(x, f.type) for x, f in zip(zip(*part, strict=True), kinds, strict=True)] if part else [pa.array([], f.type) for f in kinds]
+        pq.write_table(pa.table(columns, schema=kinds), f"{inner}/part-{no:06d}.parquet", filesystem=where)
+        no += 1
     con.close()
-    out = spark.createDataFrame([], schema)
-    for part in parts:
-        out = out.union(part)
-    return out
+    return registry(spark, folder)
 
 
 def gold(spark: SparkSession, path: str) -> DataFrame:
@@ -46,6 +55,6 @@ def gold(spark: SparkSession, path: str) -> DataFrame:
         F.col("inicio").cast("int").alias("start"),
         F.col("fim").cast("int").alias("end"),
         F.col("classificacao").alias("class"),
-        F.col("id_canonico").cast("double").cast("long").alias("record_id"),
+        F.regexp_extract("id_canonico", r"^\s*([+-]?\d+)(?:\.0*)?\s*$", 1).try_cast("long").alias("record_id"),
         F.col("nivel").cast("int").alias("level"),
     )

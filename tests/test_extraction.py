@@ -5,7 +5,7 @@ from lexaudit.operators.extraction import RULES, extract
 
 
 def found(text, rules=RULES):
-    return [text[a:b] for a, b in spans(text, "quantity" in rules, "label" in rules, "descriptive" in rules)]
+    return [text[a:b] for a, b in spans(text, rules, "quantity" in rules, "label" in rules)]
 
 
 @pytest.mark.parametrize(
@@ -43,7 +43,8 @@ def test_numbers_that_are_no_citations(text):
 def test_rules_can_be_switched_off():
     assert found("Matrícula 55.120", RULES - {"label"}) == ["Matrícula 55.120"]
     assert found("Prazo de 30", RULES - {"quantity", "label"}) == ["Prazo de 30"]
-    assert found("acórdão do TST de 2017", RULES - {"descriptive"}) == []
+    assert found("acórdão do TST de 2017", RULES - {"ruling"}) == []
+    assert found("HC 701.112/PR e Súmula 512 do STF", RULES - {"numbered"}) == ["Súmula 512 do STF"]
 
 
 def test_long_runs_do_not_hang():

@@ -44,8 +44,8 @@ def test_rules(spark, hits, given, want):
 
 def test_chooser_gets_disputes_alone(spark):
     both = [(9, 30, "x", False), (8, 300, "x", False)]
-    assert decide(spark, both, chooser=lambda prompts: ["2"] * len(prompts)) == ("real", 8, "desempate", None)
-    assert decide(spark, both, chooser=lambda prompts: ["0"] * len(prompts)) == ("inventada", None, "so_mencionado", None)
+    assert decide(spark, both, chooser=lambda system, asked: ["2"] * len(asked)) == ("real", 8, "desempate", None)
+    assert decide(spark, both, chooser=lambda system, asked: ["0"] * len(asked)) == ("inventada", None, "so_mencionado", None)
 
     def never(prompts):
         raise AssertionError("no dispute, no call")
@@ -124,7 +124,7 @@ def test_readers(spark, tmp_path):
     con.execute("INSERT INTO documentos VALUES ('d', 5, NULL, 'acordao', 'texto')")
     con.commit()
     con.close()
-    found = readers.registry_from_sqlite(spark, f"{tmp_path}/r.db")
+    found = readers.registry_from_sqlite(spark, f"{tmp_path}/r.db", f"{tmp_path}/r", block=2)
     assert [tuple(r) for r in found.collect()] == [(1, 5, None, "acordao", "texto")]
     found.write.parquet(f"{tmp_path}/r")
     assert readers.registry(spark, f"{tmp_path}/r").count() == 1

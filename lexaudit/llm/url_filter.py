@@ -7,23 +7,25 @@ and all subdomains, if the path starts with the rule's; the longest fitting
 rule wins (of equally long ones that with the longer host, then block). Where
 no rule fits, the model decides.
 
-Defined results: empty hosts and paths are judged by the model; repeated rows
-and extra columns change nothing; an empty table gives no rows.
+Defined results: empty hosts and paths (of a null url, or one without ``://``)
+are judged by the model; a null page_id stays null beside its verdict; repeated
+rows are judged alike; a tie at the threshold blocks; a very long url is judged
+whole; extra columns change nothing, whatever their names; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_DIGIT = re.compile("[0-9]")
+from .tokens import mix
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -67,15 +69,31 @@ def best_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
     return F.coalesce(*won, F.lit(None).cast("struct<text:string,verdict:string>"))
 
 
-def features(host: str, path: str, sizes: Sequence[int], dims: int) -> np.ndarray:
-    """Distinct hashed n-grams of the host (between marks) and of the path, as column numbers; digits count alike."""
-    found = {0}
-    host, path = _DIGIT.sub("0", host), _DIGIT.sub("0", path)
-    for mark, text in (("h", f"^{host}$"), ("p", f"{path}$")):
-        for n in sizes:
-            for i in range(max(0, len(text) - n) + 1):
-                found.add(xxhash.xxh3_64_intdigest(f"{mark}{text[i : i + n]}") % dims)
-    return np.fromiter(found, np.int64)
+def grams(texts: Sequence[str], mark: int, sizes: Sequence[int], dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the hashed n-grams of texts; a text shorter than n is one gram. Digits count alike."""
+    lengths = np.array([len(t) for t in texts], np.int64)
+    codes = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le"), "<u4").astype(np.uint64)
+    codes[(codes >= 48) & (codes <= 57)] = 48
+    row = np.repeat(np.arange(len(texts)), lengths + 1)
+    left = np.repeat(np.cumsum(lengths + 1), lengths + 1) - 1 - np.arange(len(codes))  # characters up to the row's end
+    rows, columns = [], []
+    for n in sizes:
+        size = np.minimum(lengths, n)[row]
+        first = np.flatnonzero((left >= size) & (size > 0))
+        h = np.full(len(first), mark * 64 + n, np.uint64)
+        for k in range(n):
+            inside = k < size[first]
+            h[inside] = mix(h[inside] + codes[first[inside] + k] * np.uint64(0x9E3779B97F4A7C15))
+        rows.append(row[first])
+        columns.append((h % np.uint64(dims)).astype(np.int64))
+    return np.concatenate(rows), np.concatenate(columns)
+
+
+def features(hosts: Sequence[str], paths: Sequence[str], sizes: Sequence[int], dims: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column) of the distinct features of urls, and how many each has: n-grams of the host (between marks) and of the path, and one that all have."""
+    parts = [grams([f"^{h}$" for h in hosts], 1, sizes, dims), grams([f"{p}$" for p in paths], 2, sizes, dims), (np.arange(len(hosts)), np.zeros(len(hosts), np.int64))]
+    keys = np.unique(np.concatenate([r * dims + c for r, c in parts])) if len(hosts) else np.zeros(0, np.int64)
+    return keys // dims, keys % dims, np.bincount(keys // dims, minlength=len(hosts))
 
 
 @dataclass(frozen=True)
@@ -85,22 +103,25 @@ class UrlModel:
     weights: np.ndarray
     sizes: tuple[int, ...]
 
+    def probabilities(self, hosts: Sequence[str], paths: Sequence[str]) -> np.ndarray:
+        """How likely each url is unwanted; all urls at once."""
+        row, column, n = features(hosts, paths, self.sizes, len(self.weights))
+        return 1 / (1 + np.exp(-np.clip(np.bincount(row, self.weights[column], len(hosts)) / np.sqrt(np.maximum(n, 1)), -30, 30)))
+
     def probability(self, host: str, path: str) -> float:
-        own = features(host, path, self.sizes, len(self.weights))
-        return float(1 / (1 + np.exp(-np.clip(self.weights[own].sum() / np.sqrt(len(own)), -30, 30))))
+        return float(self.probabilities([host], [path])[0])
 
 
 def fit(labelled: Sequence[tuple[str, str, int]], sizes: tuple[int, ...] = (3, 4, 5), dims: int = 1 << 16, epochs: int = 300, rate: float = 0.5, decay: float = 1e-3) -> UrlModel:
     """Full-batch gradient descent on the small table of (host, path, blocked)."""
-    own = [features(h, p, sizes, dims) for h, p, _ in labelled]
+    rows, columns, n = features([h for h, *_ in labelled], [p for _, p, _ in labelled], sizes, dims)
     y = np.array([label for *_, label in labelled], float)
-    columns, rows = np.concatenate(own), np.repeat(np.arange(len(own)), [len(x) for x in own])
-    value = 1 / np.sqrt(np.array([len(x) for x in own]))
+    value = 1 / np.sqrt(np.maximum(n, 1))
     w = np.zeros(dims)
     for _ in range(epochs):
-        z = np.bincount(rows, w[columns], len(own)) * value
-        slope = (1 / (1 + np.exp(-z)) - y) / max(1, len(own)) * value
-        w -= rate * (len(own) * np.bincount(columns, slope[rows], dims) + decay * w)
+        z = np.bincount(rows, w[columns], len(y)) * value
+        slope = (1 / (1 + np.exp(-z)) - y) / max(1, len(y)) * value
+        w -= rate * (len(y) * np.bincount(columns, slope[rows], dims) + decay * w)
     return UrlModel(w, sizes)
 
 
@@ -160,7 +181,7 @@ def judge(pages: DataFrame, rules: Sequence[Rule], model: UrlModel, threshold: f
     @F.pandas_udf("double")
     def score(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for hosts, paths in parts:
-            yield pd.Series([model.probability(h, p) for h, p in zip(hosts, paths, strict=True)], dtype=float)
+            yield pd.Series(model.probabilities(hosts.tolist(), paths.tolist()))
 
     split = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     scored = split.withColumn("score", score("host", "path")).withColumn("won", best_rule(F.col("host"), F.col("path"), rules))

@@ -1,4 +1,17 @@
-"""The corpus pipeline: stages that each apply one operator to what the one before kept."""
+"""The corpus pipeline: stages that each apply one operator to what the one before kept.
+
+Each stage's rows are written and read again as the next one's docs. A decision
+names documents by doc_id.
+
+Defined results: null and empty texts are scored as documents without words,
+are copies of one another in exact_dedup, and are linked with nothing in
+near_dedup; a row without doc_id is judged but cannot be named, so it stays in
+every filtering stage; rows that share a doc_id go together, if one of them
+goes, and repeated rows of a doc_id that stays all stay; ties follow the
+operators (the largest doc_id of equal texts, the least one of near copies);
+very long texts are taken whole; an empty table gives no rows; further columns,
+whatever their names, are carried to the last stage, which returns its own.
+"""
 
 from __future__ import annotations
 

@@ -9,8 +9,8 @@ the window and intersected, with room for a slop. What meets is compared with
 the text itself: word for word for exact matches, and for proximity matches
 each word within slop places of where it would stand behind the first one.
 
-Terms are looked up with all letters lower-cased, which only widens the lists;
-the comparison lower-cases A-Z alone, as words are defined. A text is known by
+A term is the 64-bit hash of a word with all letters lower-cased, which only
+widens the lists; the comparison lower-cases A-Z alone, as words are defined. A text is known by
 128 bits of its hashes, so that equal texts have equal results.
 
 Defined results: null and empty texts have no words, hits or windows; a window
@@ -63,8 +63,9 @@ def windows(items: DataFrame, size: int = 10) -> DataFrame:
 
 
 def term_places(phrases: DataFrame) -> DataFrame:
-    """(phrase, n, at, term) of every word of each phrase, terms in coarse form."""
-    return phrases.select("phrase", "n", F.posexplode(F.split(F.lower("phrase"), " ")).alias("at", "term"))
+    """(phrase, n, at, term) of every word of each phrase."""
+    placed = phrases.select("phrase", "n", F.posexplode(F.split(F.lower("phrase"), " ")).alias("at", "word"))
+    return placed.select("phrase", "n", "at", F.xxhash64("word").alias("term"))
 
 
 def text_key(text: Column) -> Column:
@@ -79,8 +80,8 @@ def text_check(text: Column) -> Column:
 
 def build_index(docs: DataFrame) -> DataFrame:
     """Postings (term, text_key, pos) of all tokens of the texts, in the shared folder."""
-    found = docs.select(text_key(F.col("text")).alias("text_key"), F.posexplode(coarse_words(F.col("text"))).alias("pos", "term"))
-    return materialize(found.select("term", "text_key", "pos").sortWithinPartitions("term"), "postings")
+    found = docs.select(text_key(F.col("text")).alias("text_key"), F.posexplode(coarse_words(F.col("text"))).alias("pos", "word"))
+    return materialize(found.select(F.xxhash64("word").alias("term"), "text_key", "pos").sortWithinPartitions("term"), "postings")
 
 
 def term_counts(postings: DataFrame, terms: DataFrame) -> DataFrame:

@@ -124,7 +124,7 @@ def test_readers(spark, tmp_path):
     con.execute("INSERT INTO documentos VALUES ('d', 5, NULL, 'acordao', 'texto')")
     con.commit()
     con.close()
-    found = readers.registry_from_sqlite(spark, f"{tmp_path}/r.db", f"{tmp_path}/r", block=2)
+    found = readers.registry_from_sqlite(spark, f"{tmp_path}/r.db", f"{tmp_path}/exported", block=2)
     assert [tuple(r) for r in found.collect()] == [(1, 5, None, "acordao", "texto")]
     found.write.parquet(f"{tmp_path}/r")
     assert readers.registry(spark, f"{tmp_path}/r").count() == 1

@@ -113,8 +113,8 @@ def split_words(docs: DataFrame, path: str, buckets: int, size: int = CHUNK_BYTE
 
 
 def stays(condition: Column) -> Column:
-    """The condition, kept above an exchange that two branches share: filters that are not deterministic are not moved."""
-    return F.when(F.rand() < 2, condition)
+    """The condition, kept above an exchange that two branches share: a filter that looks at the place of a row is not moved below it."""
+    return F.when(F.monotonically_increasing_id() >= 0, condition)
 
 
 def encoded_chunks(docs: DataFrame, path: str, each: Callable[[int, list[int | None], np.ndarray, np.ndarray], pa.Table], schema: str, size: int = CHUNK_BYTES, splitter: type[Splitter] | type[Blanks] = Splitter) -> DataFrame:

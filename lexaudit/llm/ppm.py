@@ -19,9 +19,10 @@ words, for the base score, are exchanged in the same way. The trie is never
 in one place, and all that is gathered grows with the distinct strings.
 
 Defined results: a null text counts as empty and scores its end alone; rows
-without doc_id are training rows; repeated rows are trained on and scored
-each; without training rows every symbol has probability 1/256; an empty
-table gives no rows; other columns are ignored.
+without doc_id are training rows; any long is a doc_id; repeated rows are
+trained on and scored each; without training rows every symbol has probability
+1/256; a very long text is a chunk of its own, scored whole; an empty table
+gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +30,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame

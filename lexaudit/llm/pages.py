@@ -1,8 +1,8 @@
 """Pages read once from front to back: visible text, title, language and links.
 
-Every search for the end of a tag, a comment or a hidden element goes on from
-where the last one ended, and what is missing is not looked for again, so that
-time follows the length of a page whatever stands in it.
+Every search goes on from where the last one ended, expressions never go back,
+and what is missing is not looked for again, so that time follows the length of
+a page whatever stands in it.
 """
 
 from __future__ import annotations
@@ -19,86 +19,65 @@ BLOCKS = frozenset(
     "table tbody td tfoot th thead title tr ul".split()
 )
 
-_LOWER = {c: c + 32 for c in range(65, 91)}
-_NAME = re.compile(r"[A-Za-z][A-Za-z0-9:-]*")
+#: A comment's opening, or a whole tag: slash, name, attributes.
+_TAG = re.compile(r"<!--|<(?:(/?)([A-Za-z][A-Za-z0-9:-]*+)|[!?])([^>]*+)>")
+_CLOSERS = {name: re.compile(f"</{name}[^>]*+(?:>|\\Z)", re.I | re.A) for name in HIDDEN}
+_ATTRIBUTE = re.compile(r"[\s/]*+([^\s=/]*+)(?:\s*+=\s*+(?:\"([^\"]*+)(?:\"|\Z)|'([^']*+)(?:'|\Z)|(\S*+)))?")
 _BLANK = re.compile(r"[^\S\n]+")
 _LONG_NUMBER = re.compile(r"&#(?:0*+[1-9][0-9]{7,}|[xX]0*+[1-9A-Fa-f][0-9A-Fa-f]{6,});?")
 
 
-class _Finder:
-    """Finds one mark in a text, ever further on; remembers that it is not there any more."""
+class _Closer:
+    """Finds the end of an element, ever further on; remembers that there is none any more."""
 
-    def __init__(self, text: str, mark: str):
-        self.text, self.mark, self.at = text, mark, -1
+    def __init__(self, page: str, name: str):
+        self.page, self.mark, self.none = page, _CLOSERS[name], False
 
     def after(self, place: int) -> int:
-        """Where the mark stands at place or behind; the text's length if nowhere."""
-        if self.at < place:
-            found = self.text.find(self.mark, place)
-            self.at = len(self.text) if found < 0 else found
-        return self.at
+        """Behind the element that is open at place; the page's length if it does not end."""
+        found = None if self.none else self.mark.search(self.page, place)
+        self.none = found is None
+        return len(self.page) if found is None else found.end()
 
 
 def pieces(page: str) -> Iterator[tuple[str, str, str]]:
-    """(kind, name, content) in order: text, open and close tags with their attributes, hidden content."""
-    low = page.translate(_LOWER)
-    end_of_tag, end_of_comment, opener = _Finder(page, ">"), _Finder(page, "-->"), _Finder(page, "<")
-    closers = {name: _Finder(low, "</" + name) for name in HIDDEN}
-    at = begin = 0
-    while (at := opener.after(at)) < len(page):
-        kind, name, content, after = "", "", "", at
-        if page.startswith("<!--", at):
-            after, kind = min(end_of_comment.after(at + 4) + 3, len(page)), "hidden"
-        else:
-            slash = page.startswith("/", at + 1)
-            called = _NAME.match(page, at + 1 + slash)
-            end = end_of_tag.after(at + 1)
-            if end == len(page) or not (called or page[at + 1] in "!?"):
-                at += 1
-                continue
-            after, kind = end + 1, "close" if slash else "open"
-            if called:
-                name, content = called[0].translate(_LOWER), page[called.end() : end]
-            if kind == "open" and name in HIDDEN and not content.endswith("/"):
-                close = closers[name].after(after)
-                after, kind = min(end_of_tag.after(close) + 1, len(page)), "hidden"
-        if begin < at:
-            yield "text", "", page[begin:at]
-        yield kind, name, content
-        at = begin = after
-    if begin < len(page):
-        yield "text", "", page[begin:]
+    """(kind, name, content) in order: text, open and close tags with their attributes, hidden content.
+
+    Up to the last ``>`` of the page every tag that opens ends, so that none is
+    looked through twice.
+    """
+    last, closers = page.rfind(">") + 1, {}
+    at = 0
+    while (m := _TAG.search(page, at, last)) is not None:
+        start, after = m.span()
+        name, content = (m[2] or "").lower(), m[3]
+        kind = "close" if m[1] else "open"
+        if content is None:
+            end = page.find("-->", after)
+            kind, after = "hidden", len(page) if end < 0 else end + 3
+        elif kind == "open" and name in HIDDEN and not content.endswith("/"):
+            if name not in closers:
+                closers[name] = _Closer(page, name)
+            kind, after = "hidden", closers[name].after(after)
+        if at < start:
+            yield "text", "", page[at:start]
+        yield kind, name, content or ""
+        at = after
+    comment = page.find("<!--", at)
+    end = len(page) if comment < 0 else comment
+    if at < end:
+        yield "text", "", page[at:end]
+    if comment >= 0:
+        yield "hidden", "", ""
 
 
 def attributes(content: str) -> Iterator[tuple[str, str]]:
     """(name, value) of a tag's attributes, names in lower case."""
-    at, n = 0, len(content)
-    while at < n:
-        while at < n and (content[at].isspace() or content[at] == "/"):
-            at += 1
-        begin = at
-        while at < n and not (content[at].isspace() or content[at] in "=/"):
-            at += 1
-        name = content[begin:at].translate(_LOWER)
-        look = at
-        while look < n and content[look].isspace():
-            look += 1
-        value = ""
-        if look < n and content[look] == "=":
-            at = look + 1
-            while at < n and content[at].isspace():
-                at += 1
-            if at < n and content[at] in "\"'":
-                end = content.find(content[at], at + 1)
-                end = n if end < 0 else end
-                value, at = content[at + 1 : end], end + 1
-            else:
-                begin = at
-                while at < n and not content[at].isspace():
-                    at += 1
-                value = content[begin:at]
-        if name:
-            yield name, unescaped(value)
+    at = 0
+    while at < len(content) and (m := _ATTRIBUTE.match(content, at)).end() > at:
+        at = m.end()
+        if m[1]:
+            yield m[1].lower(), unescaped(next((x for x in m.groups()[1:] if x is not None), ""))
 
 
 def unescaped(text: str) -> str:

@@ -19,7 +19,7 @@ from ..functions.text import collapse
 from . import prompts
 from .models import Answerer
 from .normindex import look_up
-from .textindex import HEADER_LIMIT, candidates
+from .textindex import HEADER_LIMIT, candidates, exchanged
 
 #: Header hits whose positions differ by this much at most are copies of one decision (fixed value).
 COPY_TOLERANCE = 2
@@ -87,7 +87,7 @@ def _ruled(citations: DataFrame, hits: DataFrame, texts_too: bool) -> DataFrame:
     slim = one_per_record(hits.select(*KEY, "record_id", "position", "family", "files", *(["text"] if texts_too else [])))
     texts = [F.substring("text", 1, OPTION_CHARS).alias("text")] if texts_too else []
     listed = slim.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("position", "record_id", "family", "files", *texts))).alias("hits"))
-    rows = citations.join(listed, KEY, "left")
+    rows = citations.join(exchanged(listed), KEY, "left")
     n = F.when(F.col("hits").isNull(), F.lit(0)).otherwise(F.size("hits"))
     rule = (
         F.when(F.col("normative") & F.col("norm_id").isNotNull(), _decision("real", "normativo", F.col("norm_id")))
@@ -115,7 +115,7 @@ def resolve_hits(citations: DataFrame, hits: DataFrame, chooser: Answerer | None
     else:
         open_ = decided.where("d is null").select(*KEY, "snippet", "hits")
         chosen = choose(open_, chooser, prompt).withColumnRenamed("choice", "picked")
-        decided = decided.join(chosen, KEY, "left")
+        decided = decided.join(exchanged(chosen), KEY, "left")
         picked = F.when(F.col("picked") < 0, _decision("inventada", "so_mencionado")).otherwise(_decision("real", "desempate", F.get("hits", F.col("picked"))["record_id"]))
         decided = decided.withColumn("d", F.coalesce("d", picked))
     return decided.select(*KEY, "d.class", "d.record_id", confidence(F.col("d.path")).alias("confidence"), "d.path")
@@ -164,9 +164,9 @@ def gather(citations: DataFrame, counts: DataFrame, found: DataFrame) -> tuple[D
     A citation is ambiguous if some identifier was in too many records and none was decisive.
     """
     asked = citations.select(*KEY, F.explode("ids").alias("phrase"))
-    judged = asked.join(counts, "phrase", "left").groupBy(*KEY).agg(F.bool_or(F.coalesce("ambiguous", F.lit(False))).alias("over"), F.bool_or(~F.coalesce("ambiguous", F.lit(False))).alias("decisive"))
-    flagged = citations.join(judged, KEY, "left").withColumn("ambiguous", F.coalesce(F.col("over") & ~F.col("decisive"), F.lit(False)))
-    return flagged.withColumn("n_identifiers", F.size("ids")).drop("over", "decisive"), asked.join(found, "phrase")
+    judged = asked.join(exchanged(counts), "phrase", "left").groupBy(*KEY).agg(F.bool_or(F.coalesce("ambiguous", F.lit(False))).alias("over"), F.bool_or(~F.coalesce("ambiguous", F.lit(False))).alias("decisive"))
+    flagged = citations.join(exchanged(judged), KEY, "left").withColumn("ambiguous", F.coalesce(F.col("over") & ~F.col("decisive"), F.lit(False)))
+    return flagged.withColumn("n_identifiers", F.size("ids")).drop("over", "decisive"), asked.join(exchanged(found), "phrase")
 
 
 def found_hits(citations: DataFrame, registry: DataFrame, postings: DataFrame, norms: DataFrame, texts_too: bool = False) -> tuple[DataFrame, DataFrame]:

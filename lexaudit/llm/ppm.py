@@ -70,9 +70,33 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[new], np.add.reduceat(counts, new) if len(new) else counts[:0]
 
 
-def _counted(parts: list[tuple[np.ndarray, bool]]) -> tuple[np.ndarray, np.ndarray]:
-    found = [(np.unique(x, return_counts=True), train) for x, train in parts]
-    return summed(np.concatenate([u for (u, _), _ in found]), np.concatenate([n.astype(np.int64) * train for (_, n), train in found]))
+class Counts:
+    """Distinct keys of many passes with their counts in training; a pass is counted as it comes, and what it adds is summed up before it outgrows half of what is there."""
+
+    def __init__(self):
+        self.keys, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, keys: np.ndarray, train: bool) -> None:
+        """Count the keys of a pass, as 0 unless they are of training."""
+        found, n = np.unique(keys, return_counts=True)
+        self.held.append((found, n * train))
+        if sum(len(x) for x, _ in self.held) > len(self.keys) // 2:
+            self.sum()
+
+    def sum(self) -> tuple[np.ndarray, np.ndarray]:
+        """All keys so far, ascending, and their counts."""
+        if self.held:
+            keys, counts = summed(np.concatenate([x for x, _ in self.held]), np.concatenate([n for _, n in self.held]))
+            self.held = []
+            at = np.searchsorted(self.keys, keys)
+            old = np.zeros(len(keys), bool)
+            inside = at < len(self.keys)
+            old[inside] = self.keys[at[inside]] == keys[inside]
+            self.counts[at[old]] += counts[old]
+            self.keys = np.insert(self.keys, at[~old], keys[~old])
+            self.counts = np.insert(self.counts, at[~old], counts[~old])
+        return self.keys, self.counts
 
 
 def _by_bucket(of: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -89,6 +113,32 @@ def _bucket_of(kind: int, keys: np.ndarray, buckets: int) -> np.ndarray:
     return (keys % np.uint64(buckets)).astype(np.int64)
 
 
+def block(table: pa.Table, chunk: int, buckets: int) -> pa.RecordBatch:
+    """The rows of a chunk (doc_id, text, held_out), as gather has them."""
+    texts = texts_of(table.column("text").combine_chunks())
+    train = ~np.array(table.column("held_out").to_pylist(), bool)
+    parts = {GRAMS: Counts(), WORDS: Counts()}
+    tokens = 0
+    for flag in (True, False):
+        some = [x for x, t in zip(texts, train, strict=True) if t == flag]
+        for a, b in passes(some):
+            hashes, _ = word_hashes(some[a:b])
+            tokens += (len(hashes) + b - a) * flag
+            parts[GRAMS].add(grams(some[a:b])[0], flag)
+            parts[WORDS].add(hashes, flag)
+    rows = []
+    for kind in (GRAMS, WORDS):
+        keys, counts = parts.pop(kind).sum()
+        if kind == GRAMS:
+            pairs, times = summed(keys & np.uint64(0xFFFF), counts)
+        for b, own in _by_bucket(_bucket_of(kind, keys, buckets), buckets):
+            rows.append((chunk, kind, b, pack_keys(keys[own]), pack_planes(counts[own]), None, None))
+    total = pack_bytes([pack_planes(pairs.astype(np.int64)), pack_planes(times), pack_planes(np.array([tokens, train.sum()], np.int64))])
+    held = pack_bytes([*(pack_planes(x) for x in packed_ids(table.column("doc_id"))), pack_planes(train), pack_bytes(texts)])
+    rows.append((chunk, TEXTS, -1, None, None, total, held))
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 4), strict=True)], ["chunk", "kind", "bucket", "keys", "counts", "pairs", "texts"])
+
+
 def gather(docs: DataFrame, buckets: int, size: int = CHUNK_BYTES) -> DataFrame:
     """(chunk, kind, bucket, keys, counts, pairs, texts): what each chunk asks and counts, and its texts, in the shared folder."""
     bounded_batches(docs.sparkSession)
@@ -97,28 +147,7 @@ def gather(docs: DataFrame, buckets: int, size: int = CHUNK_BYTES) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         for no, table in enumerate(chunks(batches, size)):
-            chunk, texts = part * 1_000_000 + no, texts_of(table.column("text").combine_chunks())
-            train = ~np.array(table.column("held_out").to_pylist(), bool)
-            parts: dict[int, list] = {GRAMS: [], WORDS: []}
-            tokens = 0
-            for flag in (True, False):
-                some = [x for x, t in zip(texts, train, strict=True) if t == flag]
-                for a, b in passes(some):
-                    hashes, _ = word_hashes(some[a:b])
-                    tokens += (len(hashes) + b - a) * flag
-                    parts[GRAMS].append((grams(some[a:b])[0], flag))
-                    parts[WORDS].append((hashes, flag))
-            rows = []
-            for kind, found in parts.items():
-                keys, counts = _counted(found)
-                if kind == GRAMS:
-                    pairs, times = summed(keys & np.uint64(0xFFFF), counts)
-                for b, own in _by_bucket(_bucket_of(kind, keys, buckets), buckets):
-                    rows.append((chunk, kind, b, pack_keys(keys[own]), pack_planes(counts[own]), None, None))
-            total = pack_bytes([pack_planes(pairs.astype(np.int64)), pack_planes(times), pack_planes(np.array([tokens, train.sum()], np.int64))])
-            held = pack_bytes([*(pack_planes(x) for x in packed_ids(table.column("doc_id"))), pack_planes(train), pack_bytes(texts)])
-            rows.append((chunk, TEXTS, -1, None, None, total, held))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 4), strict=True)], ["chunk", "kind", "bucket", "keys", "counts", "pairs", "texts"])
+            yield block(table, part * 1_000_000 + no, buckets)
 
     given = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
     return materialize(given.mapInArrow(run, "chunk long, kind int, bucket int, keys binary, counts binary, pairs binary, texts binary"), "ppm-blocks")

@@ -111,7 +111,7 @@ FROM documents d JOIN parts USING (doc_id) LEFT JOIN sizes USING (doc_id)
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents without sentences that repeat in spans of three."""
+    """All documents without sentences that repeat in spans of three; and without those that repeat in these or in fewer, of twenty words."""
     return substring_dedup.deduplicate(table(spark, sf_dir, "documents"))
 
 

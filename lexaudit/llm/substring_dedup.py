@@ -7,9 +7,14 @@ are hashed (96 bits, from the hashes of their sentences) and joined globally; a
 sentence is removed if any span that covers it is not the first of its hash,
 in the order of doc_id and place in the text.
 
+A repeated passage may have fewer whole sentences. So runs of one sentence up
+to RUN - 1 are spans too, if they have LONG_WORDS words, and a further count
+and text leave out what either kind of span covers; the count and the text
+that are named first go by runs of RUN sentences alone.
+
 Defined results: white space is collapsed before hashing and otherwise bytes
 must agree; a null or empty text has no sentences and stays as it is; a text
-with fewer sentences than a span keeps them all; what ends a text is a
+that is shorter than any span keeps all its sentences; what ends a text is a
 sentence, however short; rows that share a doc_id have all that is removed from
 that doc_id removed from each; a row without doc_id keeps its text and is no
 first occurrence; of equal spans in one text the first stays; a very long text
@@ -35,6 +40,8 @@ from .tokens import mix, passes
 RUN = 3
 #: Words of a sentence, at least.
 LEAST_WORDS = 2
+#: Words of a span of fewer than RUN sentences, at least.
+LONG_WORDS = 20
 
 _CUT = re.compile(r"(?<=[.!?])\s+|\n\s*")
 
@@ -57,27 +64,34 @@ def sentences(text: str) -> tuple[list[int], list[bytes]]:
     return starts, words
 
 
-def spans(texts: list[str], run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, place, 64 bits, 32 bits, again) of every span of the texts; again: its text had it before."""
+def spans(texts: list[str], run: int, words: int) -> tuple[np.ndarray, ...]:
+    """(text, place, sentences, 64 bits, 32 bits, again) of every span of the texts; again: its text had it before."""
     found = [sentences(t)[1] for t in texts]
     counts = np.array([len(x) for x in found], np.int64)
-    hashes = np.frombuffer(b"".join(xxhash.xxh3_128_digest(w) for words in found for w in words), "<u8").reshape(-1, 2)
+    hashes = np.frombuffer(b"".join(xxhash.xxh3_128_digest(w) for said in found for w in said), "<u8").reshape(-1, 2)
+    n_words = np.array([w.count(b" ") + bool(w) for said in found for w in said], np.int64)
     row = np.repeat(np.arange(len(texts)), counts)
     place = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-    whole = np.flatnonzero(place + run <= counts[row])
-    h1, h2 = np.zeros(len(whole), np.uint64), np.zeros(len(whole), np.uint64)
-    for i in range(run):
-        h1, h2 = mix(h1 + hashes[whole + i, 0]), mix(h2 + hashes[whole + i, 1])
+    h1, h2, total = np.zeros(len(row), np.uint64), np.zeros(len(row), np.uint64), np.zeros(len(row), np.int64)
+    start, parts = np.arange(len(row)), []
+    for size in range(1, run + 1):
+        fits = place[start] + size <= counts[row[start]]
+        start, h1, h2, total = start[fits], h1[fits], h2[fits], total[fits]
+        last = start + size - 1
+        h1, h2, total = mix(h1 + hashes[last, 0]), mix(h2 + hashes[last, 1]), total + n_words[last]
+        taken = np.flatnonzero((total >= words) | (size == run))
+        parts.append((start[taken], np.full(len(taken), size, np.int8), h1[taken], h2[taken]))
+    start, sizes, h1, h2 = (np.concatenate(x) for x in zip(*parts, strict=True))
     low = (h2 >> np.uint64(32)).astype(np.uint32).view(np.int32)
-    row, place, again = row[whole], place[whole], np.zeros(len(whole), bool)
+    row, place, again = row[start], place[start], np.zeros(len(start), bool)
     order = np.lexsort((place, low, h1, row))
     same = np.logical_and.reduce([x[order][1:] == x[order][:-1] for x in (row, h1, low)])
     again[order[1:][same]] = True
-    return row, place, h1.view(np.int64), low, again
+    return row, place, sizes, h1.view(np.int64), low, again
 
 
-def span_rows(docs: DataFrame, run: int = RUN) -> DataFrame:
-    """(doc_id, place, h1, h2, again) of every span; again: the text had it before."""
+def span_rows(docs: DataFrame, run: int = RUN, words: int = LONG_WORDS) -> DataFrame:
+    """(doc_id, place, size, h1, h2, again) of every span; again: the text had it before."""
     bounded_batches(docs.sparkSession)
 
     @returned
@@ -85,37 +99,44 @@ def span_rows(docs: DataFrame, run: int = RUN) -> DataFrame:
         for batch in batches:
             ids, texts = batch.column("doc_id").cast(pa.int64()).to_numpy(zero_copy_only=False), [x or "" for x in batch.column("text").to_pylist()]
             for a, b in passes(texts):
-                row, place, h1, h2, again = spans(texts[a:b], run)
-                columns = [ids[a:b][row], place.astype(np.int32), h1, h2, again]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["doc_id", "place", "h1", "h2", "again"])
+                row, place, sizes, h1, h2, again = spans(texts[a:b], run, words)
+                columns = [ids[a:b][row], place.astype(np.int32), sizes, h1, h2, again]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["doc_id", "place", "size", "h1", "h2", "again"])
 
-    return docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(made, "doc_id long, place int, h1 long, h2 int, again boolean")
+    return docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(made, "doc_id long, place int, size byte, h1 long, h2 int, again boolean")
 
 
 def repeated(found: DataFrame) -> DataFrame:
-    """(doc_id, place) of the spans that are not the first of their hash."""
-    once = found.where("not again").select("doc_id", "place", "h1", "h2")
+    """(doc_id, place, size) of the spans that are not the first of their hash."""
+    once = found.where("not again").select("doc_id", "place", "size", "h1", "h2")
     firsts = once.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where("first_id < last_id").select("h1", "h2", "first_id")
-    later = once.join(firsts, ["h1", "h2"]).where("doc_id > first_id").select("doc_id", "place")
-    return later.union(found.where("again").select("doc_id", "place"))
+    later = once.join(firsts, ["h1", "h2"]).where("doc_id > first_id").select("doc_id", "place", "size")
+    return later.union(found.where("again").select("doc_id", "place", "size"))
+
 
+def deduplicate(docs: DataFrame, run: int = RUN, words: int = LONG_WORDS) -> DataFrame:
+    """(doc_id, n_sentences, n_removed, text, n_repeated, text_left) of every row.
 
-def deduplicate(docs: DataFrame, run: int = RUN) -> DataFrame:
-    """(doc_id, n_sentences, n_removed, text) of every row; text without the sentences that repeat."""
-    gone = repeated(materialize(span_rows(docs, run), "spans"))
-    listed = gone.groupBy("doc_id").agg(F.collect_set("place").alias("gone"))
+    text is without the n_removed sentences that runs of run sentences repeat;
+    text_left without the n_repeated ones that these or shorter runs of the
+    words repeat.
+    """
+    gone = repeated(materialize(span_rows(docs, run, words), "spans"))
+    listed = gone.groupBy("doc_id").agg(F.collect_set(F.struct("place", "size")).alias("gone"))
 
     @returned
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, removed, texts = [], [], []
+            counts, removed, left = [], {run: [], 1: []}, {run: [], 1: []}
             for text, gone in zip(batch.column("text").to_pylist(), batch.column("gone").to_pylist(), strict=True):
                 starts = sentences(text or "")[0]
-                drop = {i for place in gone or () for i in range(place, min(place + run, len(starts) - 1))}
                 counts.append(len(starts) - 1)
-                removed.append(len(drop))
-                texts.append("".join(text[a:b] for i, (a, b) in enumerate(zip(starts, starts[1:], strict=False)) if i not in drop) if drop else text)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.string())], ["doc_id", "n_sentences", "n_removed", "text"])
+                for least in removed:
+                    drop = {i for x in gone or () if x["size"] >= least for i in range(x["place"], min(x["place"] + x["size"], len(starts) - 1))}
+                    removed[least].append(len(drop))
+                    left[least].append("".join(text[a:b] for i, (a, b) in enumerate(zip(starts, starts[1:], strict=False)) if i not in drop) if drop else text)
+            columns = [pa.array(counts, pa.int64()), *(x for least in (run, 1) for x in (pa.array(removed[least], pa.int64()), pa.array(left[least], pa.string())))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *columns], ["doc_id", "n_sentences", "n_removed", "text", "n_repeated", "text_left"])
 
     joined = docs.select("doc_id", "text").join(listed, "doc_id", "left").select("doc_id", "text", "gone")
-    return joined.mapInArrow(kept, "doc_id long, n_sentences long, n_removed long, text string")
+    return joined.mapInArrow(kept, "doc_id long, n_sentences long, n_removed long, text string, n_repeated long, text_left string")

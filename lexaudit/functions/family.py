@@ -49,7 +49,7 @@ def family(text: Column) -> Column:
     """Family of the appeal that a text names, or null."""
     upper = F.upper(text)
     chain = [F.when(F.contains(upper, F.lit(name)), F.lit(value)) for name, value in NAMES]
-    chain += [F.when(upper.rlike(rf"(?U)(?:\b|-){a}(?:\b|-)"), F.lit(ACRONYMS[a])) for a in sorted(ACRONYMS, key=len, reverse=True)]
+    chain += [F.when(F.contains(upper, F.lit(a)) & upper.rlike(rf"(?U)(?:\b|-){a}(?:\b|-)"), F.lit(ACRONYMS[a])) for a in sorted(ACRONYMS, key=len, reverse=True)]
     return F.coalesce(*chain)
 
 

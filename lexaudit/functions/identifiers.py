@@ -15,6 +15,8 @@ OCR_LETTERS = "OolIGgSs"
 OCR_DIGITS = "00116955"
 
 BLOCK = rf"[0-9{OCR_LETTERS}](?:[0-9{OCR_LETTERS}.\-\x20\n\r\t\xa0]*[0-9{OCR_LETTERS}])?"
+#: Letters that tokens of identifiers may have besides digits, in lower case (see BLOCK).
+TOKEN_LETTERS = "".join(sorted(set(OCR_LETTERS.lower())))
 _EDGE = ".- \n\r\t\u00a0"
 _MARK = "\u0003"
 #: A letter that a digit stands behind, or before, with nothing but dots between.
@@ -63,7 +65,8 @@ def normalize_block(block: Column) -> Column:
         punctuated = F.regexp_replace(text, r"[ \n\r\t\xa0]", "")
         return F.when(F.length(only) == 20, mask_unified(only)).when(text.rlike(r"[.\-]"), punctuated).otherwise(group_thousands(only))
 
-    return bind(_trimmed_and_translated(block), lambda text: bind(digits(text), lambda only: written(text, only)))
+    clean = block.rlike(r"^[0-9](?:[0-9.\-]*[0-9])?$")  # nothing to trim or translate
+    return bind(F.when(clean, block).otherwise(_trimmed_and_translated(block)), lambda text: bind(digits(text), lambda only: written(text, only)))
 
 
 def identifiers(snippet: Column) -> Column:
@@ -73,8 +76,9 @@ def identifiers(snippet: Column) -> Column:
     courts, single digits and, where there are other blocks, bare years are
     left out.
     """
-    years = F.regexp_extract_all(snippet, F.lit(r"(?iU)\b(?:de|em)\s+((?:19|20)[0-9]{2})\b"), F.lit(1))
-    regions = F.regexp_extract_all(snippet, F.lit(r"(?iU)\b(?:TRF|TRT|TRE|CJF|JEF)\s*-?\s*([0-9]{1,2})\b"), F.lit(1))
+    none = F.array().cast("array<string>")
+    years = F.when(F.contains(snippet, F.lit("19")) | F.contains(snippet, F.lit("20")), F.regexp_extract_all(snippet, F.lit(r"(?iU)\b(?:de|em)\s+((?:19|20)[0-9]{2})\b"), F.lit(1))).otherwise(none)
+    regions = F.when(snippet.rlike("(?i)tr[fte]|cjf|jef"), F.regexp_extract_all(snippet, F.lit(r"(?iU)\b(?:TRF|TRT|TRE|CJF|JEF)\s*-?\s*([0-9]{1,2})\b"), F.lit(1))).otherwise(none)
     blocks = F.filter(F.regexp_extract_all(snippet, F.lit(BLOCK), F.lit(0)), lambda b: b.rlike("[0-9]"))
     read = F.transform(blocks, lambda b: bind(normalize_block(b), lambda n: F.struct(n.alias("n"), digits(n).alias("d"))))
     found = bind(F.array_union(years, regions), lambda gone: F.filter(read, lambda x: ~F.array_contains(gone, x["d"])))

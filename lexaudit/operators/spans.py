@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
+from itertools import pairwise
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -89,7 +90,11 @@ def keep_longest(spans: Iterable[tuple[int, int]], least: float = 0.5) -> list[t
 
     Kept spans never hold one another, so that the order of their starts is
     that of their ends, and only those that meet a span are compared with it.
+    Spans of which none meet are all kept.
     """
+    spans = sorted(spans)
+    if all(a < b for a, b in spans) and all(a[1] <= b[0] for a, b in pairwise(spans)):
+        return spans
     starts: list[int] = []
     ends: list[int] = []
     for start, end in sorted(spans, key=lambda s: (s[0] - s[1], s[0])):

@@ -128,10 +128,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def derived(spark: SparkSession, sf_dir: str, sql: str, *names: str) -> DataFrame:
-    """A derived table: sql over the named given tables."""
+def derived(spark: SparkSession, sf_dir: str, sql: str, *names: str, dealt: str | None = None) -> DataFrame:
+    """A derived table: sql over the named given tables.
+
+    dealt: a column by which the given rows are dealt out and sorted first, so
+    that long texts derived from a small file are made in many tasks, and are
+    joined by that column where they are made.
+    """
     text = sql.replace('"end"', "`end`")
-    return spark.sql(_with_arguments(text, names), **{n: table(spark, sf_dir, n) for n in names})
+    given = {n: table(spark, sf_dir, n) for n in names}
+    if dealt is not None:
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        given = {n: t.repartition(parts, dealt).sortWithinPartitions(dealt) for n, t in given.items()}
+    return spark.sql(_with_arguments(text, names), **given)
 
 
 def _with_arguments(sql: str, names: tuple[str, ...]) -> str:
